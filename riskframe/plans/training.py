@@ -85,7 +85,7 @@ WITH RECURSIVE e AS (
 nodes AS (SELECT p AS id FROM e UNION SELECT n FROM e),
 up AS (SELECT n AS id, p AS anc FROM e UNION SELECT up.id, e.p FROM up JOIN e ON e.n = up.anc),
 looped AS (SELECT DISTINCT id FROM up WHERE id = anc),
-bad AS (SELECT id FROM looped UNION SELECT id FROM up JOIN looped l ON l.id = up.anc),
+bad AS (SELECT id FROM looped UNION SELECT up.id FROM up JOIN looped l ON l.id = up.anc),
 down AS (SELECT id, id AS root, 0 AS depth, id AS path FROM nodes WHERE id NOT IN (SELECT n FROM e)
   UNION SELECT e.n, root, depth + 1, path || '/' || e.n FROM down JOIN e ON e.p = down.id WHERE e.n NOT IN (SELECT id FROM bad)),
 best AS (SELECT id, min(row(depth, root, path)) AS b FROM down GROUP BY id)
