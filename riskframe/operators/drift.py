@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.runtime import Scratch
+from riskframe.runtime import Scratch, map_arrow
 
 #: The bits of a field's type set.
 TYPE_BITS = {"object": 1, "array": 2, "string": 4, "number": 8, "boolean": 16}
@@ -103,7 +103,7 @@ def profile(pages: DataFrame, file: str = "file_id", payload: str = "payload") -
             )
 
     rows = pages.select(F.col(file).cast("long").alias("file"), F.col(payload).alias("payload")).where("file is not null")
-    return rows.mapInArrow(run, "file long, field string, types int").groupBy("file", "field").agg(F.bit_or("types").alias("types"))
+    return map_arrow(rows, run, "file long, field string, types int").groupBy("file", "field").agg(F.bit_or("types").alias("types"))
 
 
 def file_order(pages: DataFrame, file: str, stream: str, produced: str) -> DataFrame:
@@ -209,7 +209,7 @@ def _renames(rows, order, wanted, file, report, payload):
             )
 
     values = (
-        records.join(roles, "file").select("report", "payload", "roles").mapInArrow(run, "pair long, later boolean, report long, field string, digest binary")
+        map_arrow(records.join(roles, "file").select("report", "payload", "roles"), run, "pair long, later boolean, report long, field string, digest binary")
     )
     once = values.groupBy("pair", "later", "report", "field").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
     scratch = Scratch(rows.sparkSession, "drift-values")
@@ -340,4 +340,4 @@ def unified_pages(pages: DataFrame, changes: DataFrame, *, payload: str = "paylo
 
     src = pages.select(*keep, F.col(payload))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep)
-    return src.mapInArrow(run, f"{types}, fields map<string,string>")
+    return map_arrow(src, run, f"{types}, fields map<string,string>")

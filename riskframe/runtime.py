@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per application, whether or not it is installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_riskframe_shipped", False):
+        return
+    root = Path(__file__).parent
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/riskframe-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    sc._riskframe_shipped = True
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 class Scratch:
     """Written intermediate tables of one operator run.
 
