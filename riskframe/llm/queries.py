@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import toxicity, unparsable
+from riskframe.llm import mixing, packing, toxicity, unparsable
 from riskframe.runtime import table
 
 
@@ -20,6 +20,22 @@ def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unparsable.rates(unparsable.checked(table(spark, sf_dir, "source_files")))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.summary(p6_containers(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
+def p7_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p7_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
 
@@ -32,5 +48,5 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(p8_scores(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_diagnostics, p3_rates, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_diagnostics, p3_rates, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)}
 ORACLE: dict[str, str] = {}
