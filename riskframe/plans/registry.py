@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskframe.plans import training
+from riskframe.plans import core, training
 
-_MODULES = (training,)
+_MODULES = (training, core)
 
 
 def queries() -> dict:
