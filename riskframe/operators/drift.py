@@ -66,6 +66,14 @@ def _plain(v):
 
 
 def _text(v) -> str:
+    """Canonical JSON; values nested beyond what Python can walk count as equal to each other."""
+    try:
+        return _dumped(v)
+    except RecursionError:
+        return "..."
+
+
+def _dumped(v) -> str:
     return json.dumps(_plain(v), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
