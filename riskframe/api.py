@@ -55,6 +55,32 @@ class RiskSession:
         rows = self.scratch.cut(compare.compared(baseline, current, threshold=self.threshold))
         return self.keep("comparison", comparisons=rows, summary=compare.comparison_summary(rows))
 
+    def change_scope(self, callables: DataFrame, ranges: DataFrame) -> str:
+        """The files, callables, links and seeds that changed ranges touch."""
+        merged = self.scratch.cut(scope.changed_ranges(ranges))
+        marked, touched = scope.flagged(callables, merged), scope.scope_files(merged)
+        return self.keep("scope", scope_files=touched, edges=scope.scope_edges(touched, marked), seeds=scope.scope_seeds(touched, marked), methods=marked.where("changed"))
+
+    def review(self, methods: DataFrame, comparisons: DataFrame, violations: DataFrame, cycles: DataFrame, tests: DataFrame | None = None) -> str:
+        """All findings of one revision in one ranked table."""
+        parts = [review.regression_findings(comparisons), review.quality_findings(methods), review.architecture_findings(violations, cycles)]
+        if tests is not None:
+            parts.append(review.test_findings(tests))
+        findings = self.scratch.cut(review.ranked(*parts))
+        return self.keep("review", findings=findings, summary=review.review_summary(findings))
+
+    def architecture(self, edges: DataFrame, names: DataFrame, rules: list[dict], forbid_cycles: bool | None = None) -> str:
+        """Violations of rules and, unless switched off, import cycles with their witnesses."""
+        imports = edges.where("type = 'imports'")
+        broken = graph.forbidden(imports, names, rules).withColumn("kind", F.lit("forbid"))
+        cycles = graph.cycle_witnesses(imports, graph.cyclic_components(imports))
+        if forbid_cycles is False:
+            return self.keep("architecture", violations=broken, cycles=cycles)
+        first = cycles.where("pos = 0").select("from_id", "to_id")
+        looped = first.join(names.select(F.col("id").alias("from_id"), F.col("name").alias("from")), "from_id").join(names.select(F.col("id").alias("to_id"), F.col("name").alias("to")), "to_id")
+        loops = looped.select("from", "to", F.lit("").alias("system"), F.lit("import cycle").alias("reason"), F.lit(None).cast("int").alias("rule"), F.lit("cycle").alias("kind"))
+        return self.keep("architecture", violations=broken.unionByName(loops), cycles=cycles)
+
     def graph(self, nodes: DataFrame, edges: DataFrame) -> str:
         return self.keep("graph", nodes=nodes, edges=edges, summary=graph.graph_summary(nodes, edges))
 
@@ -95,12 +121,14 @@ class RiskSession:
         return rows, total, pages.cursor(self.secret, snapshot, mode, offset + len(rows)) if more else None
 
     def gate(self, snapshot: str) -> bool:
-        """Whether nothing fails: no callable above the threshold, no regression, or a passed mutation score."""
+        """Whether nothing fails: no callable above the threshold, no regression, no violation, or a passed mutation score."""
         kind, parts = self.kept[snapshot][1], self.parts(snapshot)
         if kind == "analysis":
             return parts["methods"].where("above_threshold").isEmpty()
         if kind == "comparison":
             return parts["comparisons"].where("regression").isEmpty()
+        if kind == "architecture":
+            return parts["violations"].isEmpty()
         if kind == "mutation":
             return bool(parts["summary"].first()["passed"])
         return True

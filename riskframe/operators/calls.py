@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import fingerprint, is_test_function
+from riskframe.operators.graph import one_row
 
 SITES = 25
 UNRESOLVED = 5000
@@ -66,4 +67,4 @@ def call_summary(functions_: DataFrame, edges: DataFrame, tests: DataFrame) -> D
     """Counts of functions, edges by kind, occurrences, tests, changed functions, and unmatched ones; one row."""
     f = functions_.agg(F.count("*").alias("functions"), F.count_if("test").alias("tests"), F.count_if("changed").alias("changed_functions"), F.count_if(~F.col("matched")).alias("unmatched_functions"))
     e = edges.agg(F.count_if(F.col("kind") == "static").alias("static_edges"), F.count_if(F.col("kind") == "dispatch").alias("dispatch_edges"), F.coalesce(F.sum("occurrences"), F.lit(0)).alias("call_sites"))
-    return f.crossJoin(e).crossJoin(tests.agg(F.count("*").alias("affected_tests")))  # one row each
+    return one_row(f, e, tests.agg(F.count("*").alias("affected_tests")))

@@ -53,7 +53,9 @@ def assign_paths(files: DataFrame, identities: DataFrame, aliases: DataFrame | N
             if new.isEmpty():
                 break
             given = new if given is None else given.unionByName(new)
-            left = scratch.cut(left.join(new.select("file"), "file", "left_anti").join(new.select("identity"), "identity", "left_anti").select("file", "identity"))
+            rest = scratch.cut(left.join(new.select("file"), "file", "left_anti").join(new.select("identity"), "identity", "left_anti").select("file", "identity"))
+            scratch.drop(left)
+            left = rest
         ambiguous = left if ambiguous is None else ambiguous.unionByName(left)
     several = ambiguous.groupBy("file").agg(F.array_sort(F.collect_set("identity")).alias("candidates"))
     none = F.array().cast("array<string>")

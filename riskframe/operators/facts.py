@@ -88,3 +88,15 @@ def with_ids(callables: DataFrame) -> DataFrame:
 def occurrence_ids(declarations: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Adds occurrence: the running index of equal declarations in document order."""
     return declarations.withColumn("occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+
+
+def distinct_in_order(*parts: list[str]) -> list[str]:
+    """Texts such as limitations of several reports, each once, in the order they first appear."""
+    return list(dict.fromkeys(x for p in parts for x in p))
+
+
+def grammars(files: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """The languages that files are written in, with the version of their parser, in order."""
+    lang = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))]
+    version = F.create_map(*[F.lit(x) for kv in versions.items() for x in kv])[F.col("language")]
+    return files.select(lang.alias("language")).where("language is not null").distinct().withColumn("version", version).orderBy("language", "version")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import fingerprint, glob_regex, normal_path, round2, rust_module_path
+from riskframe.operators.hierarchy import declared_tree
 from riskframe.runtime import Scratch
 
 NEIGHBORHOOD_EDGE_TYPES = ("contains", "declares", "member-of", "imports")
@@ -39,8 +40,48 @@ def containment(types: DataFrame, callables: DataFrame) -> DataFrame:
 def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("file", "module", "type", "callable")])
     e = edges.agg(*[F.count_if(F.col("type") == k).alias(k.replace("-", "_")) for k in ("contains", "declares", "member-of", "imports")], F.sum("occurrences").alias("occurrences"))
-    return n.crossJoin(e)  # one row each
+    return one_row(n, e)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Aggregates of one row each as one row, side by side."""
+    out = parts[0].withColumn("_row", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("_row", F.lit(1)), "_row")
+    return out.drop("_row")
+
+
+def enum_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows outside the vocabulary: unknown kinds and types, illegal containment, imports that aren't resolved as such."""
+    kinds = nodes.where(~F.col("kind").isin("file", "module", "type", "callable") | F.col("kind").isNull()).select(F.lit("node-kind").alias("fault"), "id")
+    types = edges.where(~F.col("type").isin(*NEIGHBORHOOD_EDGE_TYPES) | F.col("type").isNull()).select(F.lit("edge-type").alias("fault"), "id")
+    k = nodes.groupBy("id").agg(F.min("kind").alias("kind"))
+    ends = edges.join(k.select(F.col("id").alias("from_id"), F.col("kind").alias("fk")), "from_id").join(k.select(F.col("id").alias("to_id"), F.col("kind").alias("tk")), "to_id")
+    legal = (
+        ((F.col("type") == "declares") & (F.col("fk") == "type") & (F.col("tk") == "callable"))
+        | ((F.col("type") == "contains") & F.col("fk").isin("file", "type", "callable") & F.col("tk").isin("type", "callable") & ~((F.col("fk") == "type") & (F.col("tk") == "callable")))
+        | ((F.col("type") == "member-of") & (F.col("fk") == "file") & (F.col("tk") == "module"))
+        | ((F.col("type") == "imports") & (F.col("fk") == "module") & (F.col("tk") == "module"))
+    )
+    return kinds.unionByName(types).unionByName(ends.where(F.col("type").isin(*NEIGHBORHOOD_EDGE_TYPES) & ~legal).select(F.lit("edge-ends").alias("fault"), "id").distinct())
+
+
+def evidence_faults(edges: DataFrame, references: DataFrame) -> DataFrame:
+    """Resolved references that don't back exactly one imports edge between their own modules: id, edges."""
+    used = edges.where("type = 'imports'").select(F.explode("reference_ids").alias("id"), F.col("from_id").alias("f"), F.col("to_id").alias("t"))
+    r = references.where("resolution = 'resolved' and not (source_module <=> target)").select("id", "source_module", "target")
+    hit = r.join(used, "id", "left").groupBy("id").agg(F.count_if((F.col("f") == F.col("source_module")) & (F.col("t") == F.col("target"))).alias("edges"), F.count("f").alias("uses"))
+    return hit.where("edges <> 1 or uses <> 1").select("id", "edges")
+
+
+def supporting_references(references: DataFrame, edges: DataFrame) -> DataFrame:
+    """The references that back the given edges."""
+    return references.join(edges.select(F.explode("reference_ids").alias("id")).distinct(), "id", "left_semi")
+
 
+def deep_nodes(edges: DataFrame, most: int = 64) -> DataFrame:
+    """Nodes of the containment forest on or below a cycle, or deeper than allowed: node_id, depth (-1 for a cycle)."""
+    return declared_tree(edges, paths=False).where((F.col("depth") > most) | F.col("cyclic")).select("node_id", "depth")
 
 def forest_faults(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Violations of the containment forest: fault, id.
@@ -257,17 +298,20 @@ def cyclic_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
             trimmed = scratch.cut(trimmed)
             m = trimmed.count()
+            scratch.drop(left)
             left = trimmed
             if m == n or m == 0:
                 break
         if m == 0:
             break
         colour = scratch.cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("c")))
+        step = colour
         while True:  # the least node that reaches each node
             down = left.join(colour.select(F.col("node").alias("a"), "c"), "a").groupBy("b").agg(F.min("c").alias("c2"))
             new = colour.join(down, colour["node"] == down["b"], "left").select("node", "c", F.least("c", F.coalesce("c2", "c")).alias("n"))
             jump = new.join(new.select(F.col("node").alias("n"), F.col("n").alias("nn")), "n")
-            step = scratch.cut(jump.select("node", F.least("n", "nn").alias("c"), (F.least("n", "nn") != F.col("c")).alias("moved")))
+            last, step = step, scratch.cut(jump.select("node", F.least("n", "nn").alias("c"), (F.least("n", "nn") != F.col("c")).alias("moved")))
+            scratch.drop(last)
             colour = step.select("node", "c")
             if step.where("moved").isEmpty():
                 break

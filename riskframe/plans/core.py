@@ -636,7 +636,69 @@ def resolved_references(spark, d):
     r = refs.select(
         F.concat_ws("#", "file", "index").alias("id"), kind.alias("kind"), "specifier", F.coalesce("scope", F.lit("")).alias("scope"), F.col("file").alias("source_module"), F.col("file").alias("path"), F.lit("").alias("reason")
     )
-    ts = src.where(F.lower("path").rlike(r"\.tsx?$")).select(F.col("path").alias("module_id"), F.col("path").alias("name"), F.lit("typescript-module").alias("system"), F.lit("").alias("variant"))
-    rs = src.where(F.lower("path").endswith(".rs")).select(F.col("path").alias("module_id"), X.rust_module_path(F.col("path")).alias("name"), F.lit("rust-crate").alias("system"), F.lit("").alias("variant"))
-    cs = facts.facts(src, "modules").where("language = 'csharp'").select(F.concat(F.lit("ns:"), "name").alias("module_id"), "name", "system", F.lit("").alias("variant")).distinct()
+    paths = table(spark, d, "source_files").where("file_id is not null and content is not null").groupBy("file_id").agg(F.max_by(F.struct("repository", "path"), F.struct("fetched_at", "loaded_at")).alias("s"))
+    paths = paths.select(F.concat_ws("/", "s.repository", "s.path").alias("path"))
+    ts = paths.where(F.lower("path").rlike(r"\.tsx?$")).select(F.col("path").alias("module_id"), F.col("path").alias("name"), F.lit("typescript-module").alias("system"), F.lit("").alias("variant"))
+    rs = paths.where(F.lower("path").endswith(".rs")).select(F.col("path").alias("module_id"), X.rust_module_path(F.col("path")).alias("name"), F.lit("rust-crate").alias("system"), F.lit("").alias("variant"))
+    cs = facts.facts(src.where(F.lower("path").endswith(".cs")), "modules").select(F.concat(F.lit("ns:"), "name").alias("module_id"), "name", "system", F.lit("").alias("variant")).distinct()
     return graph.resolve_references(r, ts.unionByName(rs).unionByName(cs)).groupBy("kind", "resolution", "reason").agg(F.count("*").alias("references"))
+
+
+@query(
+    """WITH e AS (SELECT lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) AS type, from_id, to_id, min(id) AS id FROM graph_edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL AND type IS NOT NULL GROUP BY ALL),
+k AS (SELECT id, min(kind) AS kind FROM graph_nodes GROUP BY id), j AS (SELECT e.*, f.kind AS fk, t.kind AS tk FROM e JOIN k f ON f.id = from_id JOIN k t ON t.id = to_id)
+SELECT 'node-kind' AS fault, id FROM graph_nodes WHERE kind IS NULL OR kind NOT IN ('file', 'module', 'type', 'callable')
+UNION ALL SELECT 'edge-type', id FROM e WHERE type NOT IN ('contains', 'declares', 'member-of', 'imports')
+UNION ALL SELECT DISTINCT 'edge-ends', id FROM j WHERE type IN ('contains', 'declares', 'member-of', 'imports') AND NOT coalesce(
+ (type = 'declares' AND fk = 'type' AND tk = 'callable') OR (type = 'contains' AND fk IN ('file', 'type', 'callable') AND tk IN ('type', 'callable') AND NOT (fk = 'type' AND tk = 'callable'))
+ OR (type = 'member-of' AND fk = 'file' AND tk = 'module') OR (type = 'imports' AND fk = 'module' AND tk = 'module'), false)"""
+)
+def enum_faults(spark, d):
+    return graph.enum_faults(table(spark, d, "graph_nodes"), v_edges(spark, d))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 5 = 0), u AS (SELECT a, count(*) AS n FROM r GROUP BY a)
+SELECT 'r' || a AS id, CAST(n AS BIGINT) AS edges FROM u WHERE n <> 1"""
+)
+def evidence_faults(spark, d):
+    """References that several edges claim; here an edge per (reference, supplier) with the reference's own ends."""
+    r = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").selectExpr("'r' || CAST(l_partkey % 300 AS STRING) AS rid", "l_suppkey").distinct()
+    edges = r.select(F.lit("imports").alias("type"), F.lit("a").alias("from_id"), F.lit("b").alias("to_id"), F.array("rid").alias("reference_ids"))
+    refs = r.select(F.col("rid").alias("id"), F.lit("a").alias("source_module"), F.lit("b").alias("target"), F.lit("resolved").alias("resolution")).distinct()
+    return graph.evidence_faults(edges, refs)
+
+
+@query(
+    """WITH l AS (SELECT 'm/p' || (l_partkey % 50) || '.go:' || (l_orderkey % 90 + 1) || '.' || l_linenumber || ',' || (l_orderkey % 90 + 3) || '.2 ' || (l_partkey % 50 % 7) || ' ' || CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS INT) END AS v FROM lineitem),
+p AS (SELECT regexp_extract(v, '^(.+):(\\d+)\\.(\\d+),(\\d+)\\.(\\d+) (\\d+) (\\d+)$', ['identity', 'sl', 'sc', 'el', 'ec', 'st', 'c']) AS x FROM l)
+SELECT x.identity AS identity, CAST(x.sl AS INT) AS start_line, CAST(x.sc AS INT) AS start_column, CAST(x.el AS INT) AS end_line, CAST(x.ec AS INT) AS end_column, CAST(x.st AS INT) AS statements, bool_or(CAST(x.c AS INT) > 0) AS covered FROM p GROUP BY ALL"""
+)
+def go_profile_spans(spark, d):
+    from riskframe.sources.coverage_reports import go_profile
+
+    v = "'m/p' || CAST(l_partkey % 50 AS STRING) || '.go:' || CAST(l_orderkey % 90 + 1 AS STRING) || '.' || CAST(l_linenumber AS STRING) || ',' || CAST(l_orderkey % 90 + 3 AS STRING) || '.2 ' || CAST(l_partkey % 50 % 7 AS STRING) || ' ' || CAST(CASE WHEN l_returnflag = 'N' THEN 0 ELSE CAST(l_quantity AS INT) END AS STRING) AS value"
+    return go_profile(table(spark, d, "lineitem").selectExpr(v))
+
+
+@query(
+    """WITH l AS (SELECT 'Src\\P' || (l_partkey % 40) || '/./x/../A.cs' AS filename, l_orderkey % 500 + 1 AS number, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 1 END AS h FROM lineitem)
+SELECT 'Src/' || regexp_extract(filename, 'P\\d+') || '/A.cs' AS identity, CAST(number AS INT) AS start_line, bool_or(h > 0) AS covered FROM l GROUP BY ALL"""
+)
+def cobertura_spans(spark, d):
+    from riskframe.sources.coverage_reports import cobertura
+
+    rows = table(spark, d, "lineitem").selectExpr("'Src\\\\P' || CAST(l_partkey % 40 AS STRING) || '/./x/../A.cs' AS filename", "l_orderkey % 500 + 1 AS number", "CASE WHEN l_returnflag = 'N' THEN '0' ELSE '1' END AS hits")
+    return cobertura(rows)[0].select("identity", "start_line", "covered")
+
+
+@query(
+    """WITH o AS (SELECT 'src/f' || (o_orderkey % 40) || '.go' AS file, CAST(o_orderkey % 900 + 1 AS INT) AS s, CAST(o_custkey % 4 AS INT) AS n FROM orders)
+SELECT file, s AS start_line, CASE WHEN n = 0 THEN s ELSE s + n - 1 END AS end_line FROM o"""
+)
+def diff_hunks(spark, d):
+    """Hunks of diffs, one per order: n added lines (a pure deletion if 0), with texts that look like headers."""
+    from riskframe.sources.git import diff_ranges
+
+    text = """'--- a/x\n+++ b/src/f' || CAST(o_orderkey % 40 AS STRING) || '.go\n@@ -7 +' || CAST(o_orderkey % 900 + 1 AS STRING) || ',' || CAST(o_custkey % 4 AS STRING) || ' @@\n--- old\n' || repeat('+++ b/not-a-header\n', CAST(o_custkey % 4 AS INT)) AS diff"""
+    return diff_ranges(table(spark, d, "orders").selectExpr(text))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.functions.expr import is_absolute, normal_path
 
+SOURCES = 1000  # source folders of one report; more are an error
 SPANS = "identity string, start_line int, start_column int, end_line int, end_column int, statements int, covered boolean"
 
 
@@ -37,11 +38,13 @@ def cobertura(lines: DataFrame, sources: DataFrame | None = None) -> tuple[DataF
         "identity", F.col("line").alias("start_line"), F.lit(0).alias("start_column"), F.col("line").alias("end_line"), F.lit(0).alias("end_column"), F.lit(1).alias("statements"), "covered"
     )
     names = checked.select("identity", normal_path(F.col("filename")).alias("name")).distinct()
-    if sources is None:
-        return spans, names.where("name <> identity").select(F.col("name").alias("alias"), "identity")
-    below = names.join(F.broadcast(sources.select(normal_path(F.col("source")).alias("source")).where("source <> ''").distinct().limit(1000)), ~is_absolute(F.col("name")))
-    joined = below.select(F.regexp_replace(F.concat_ws("/", "source", "name"), "^/", "").alias("alias"), "identity")
-    return spans, joined.where("alias <> identity").distinct()
+    folders = [r[0] for r in sources.select(normal_path(F.col("source")).alias("source")).where("source <> ''").distinct().limit(SOURCES + 1).collect()] if sources is not None else []
+    if len(folders) > SOURCES:
+        raise ValueError(f"more than {SOURCES} source folders")
+    below = [F.concat(F.lit(f.rstrip("/") + "/"), "name") for f in sorted(folders)]
+    named = F.when(is_absolute(F.col("name")), F.array("name")).otherwise(F.array("name", *below))
+    aliases = names.select(F.explode(named).alias("alias"), "identity").withColumn("alias", F.regexp_replace("alias", "^/", ""))
+    return spans, aliases.where("alias <> identity").distinct()
 
 
 def identity_of(filename):
