@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.expr import round2
 
 BIN = 64  # lines per bin of the interval joins
+OWNER_BIN = 256  # lines per bin of the ownership sweep
 
 
 def merge_ranges(ranges: DataFrame, by: list[str], start: str = "start_line", end: str = "end_line") -> DataFrame:
@@ -24,21 +25,30 @@ def merge_ranges(ranges: DataFrame, by: list[str], start: str = "start_line", en
     )
 
 
-def owned_lines(callables: DataFrame, key: str = "id", file: list[str] | None = None) -> DataFrame:
-    """The innermost callable of every line: deeper first, then earlier start and end byte, then smaller key."""
-    by = file or ["file"]
-    lines = callables.select(*by, F.col(key).alias("id"), "depth", "start_byte", "end_byte", F.explode(F.sequence("start_line", F.greatest("start_line", "end_line"))).alias("line"))
-    first = F.struct(-F.col("depth"), "start_byte", "end_byte", "id")
-    # min of a struct aggregates inside each task before the shuffle; a window would sort every line.
-    return lines.groupBy(*by, "line").agg(F.min(first).alias("first")).select(*by, "line", F.col("first.id").alias("id"))
-
-
 def owned_ranges(callables: DataFrame, key: str = "id", file: list[str] | None = None) -> DataFrame:
-    """The lines each callable owns (not held by a nested one) as ranges: file, id, start_line, end_line."""
+    """The lines each callable owns (not held by a nested one) as ranges: file, id, start_line, end_line.
+
+    A line belongs to the deepest callable over it, then to the one with the earlier start byte, end byte, smaller key. Owners
+    change only where a callable starts or has ended, so that the plan works on these boundaries and not on lines: each
+    boundary takes the first of the callables over it (met by file and bin of lines, aggregated inside each task before
+    the shuffle), and neighbouring boundaries with one owner become one range. No window spans more than the
+    boundaries of one bin, the bins of one file, or the boundaries of one callable.
+    """
     by = file or ["file"]
-    along = Window.partitionBy(*by, "id").orderBy("line")
-    islands = owned_lines(callables, key, by).withColumn("island", F.col("line") - F.row_number().over(along))
-    return islands.groupBy(*by, "id", "island").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("island")
+    bin_of = lambda c: F.floor(c / OWNER_BIN).cast("int")
+    c = callables.where(F.col("start_line") <= F.col("end_line")).select(*by, "start_line", "end_line", F.struct((-F.col("depth")).alias("depth"), "start_byte", "end_byte", F.col(key).alias("id")).alias("rank"))
+    edge = c.select(*by, F.explode(F.array("start_line", F.col("end_line") + 1)).alias("at")).distinct().withColumn("bin", bin_of(F.col("at")))
+    bins = edge.groupBy(*by, "bin").agg(F.min("at").alias("at"))
+    after = bins.select(*by, "bin", F.lead("at").over(Window.partitionBy(*by).orderBy("bin")).alias("beyond"))
+    inner = edge.withColumn("next", F.lead("at").over(Window.partitionBy(*by, "bin").orderBy("at")))
+    segments = inner.join(after, [*by, "bin"]).select(*by, "bin", "at", F.coalesce("next", "beyond").alias("next"))
+    over = c.withColumn("bin", F.explode(F.sequence(bin_of(F.col("start_line")), bin_of(F.col("end_line")))))
+    held = over.join(segments, [*by, "bin"]).where("at between start_line and end_line")
+    owner = held.groupBy(*by, "at", "next").agg(F.min("rank").alias("rank")).select(*by, "at", "next", F.col("rank.id").alias("id"))
+    along = Window.partitionBy(*by, "id").orderBy("at")
+    starts = owner.withColumn("new", (F.coalesce(F.lag("next").over(along), F.lit(-1)) != F.col("at")).cast("int"))
+    islands = starts.withColumn("island", F.sum("new").over(along))
+    return islands.groupBy(*by, "id", "island").agg(F.min("at").alias("start_line"), (F.max("next") - 1).alias("end_line")).drop("island")
 
 
 def covered_percent(spans: DataFrame, owned: DataFrame, file: list[str] | None = None) -> DataFrame:
