@@ -38,7 +38,7 @@ def hierarchy(edges: DataFrame, *, parent: str, child: str, paths: bool = True)
     links = edges.select(_packed(F.col(parent)).alias("p"), _packed(F.col(child)).alias("n")).where("p is not null and n is not null")
     nil = F.lit(None).cast("binary")
     ends = links.select(F.explode(F.array(F.struct("n", "p"), F.struct(F.col("p").alias("n"), nil.alias("p")))).alias("e"))
-    known = ends.groupBy("e.n").agg(F.min("e.p").alias("lo"), F.max("e.p").alias("hi"))
+    known = ends.groupBy("e.n").agg(F.min("e.p").alias("lo"), F.max("e.p").alias("hi"), F.bool_or(F.col("e.p").isNull()).alias("inner"))
     root, several = F.col("lo").isNull(), F.col("lo") != F.col("hi")
     seg = {"path": F.when(root | several, F.array().cast("array<binary>")).otherwise(F.array("n"))} if paths else {}
     nodes = scratch.cut(
@@ -48,30 +48,33 @@ def hierarchy(edges: DataFrame, *, parent: str, child: str, paths: bool = True)
             F.when(root | several, 0).otherwise(1).alias("d"),
             F.coalesce(root | several, F.lit(True)).alias("done"),
             F.coalesce(several, F.lit(False)).alias("several"),
+            "inner",
             *[c.alias(k) for k, c in seg.items()],
         )
     )
-    cols = ["n", "a", "d", "done", *seg]
+    cols = ["n", "a", "d", "done", "inner", *seg]
     counts = nodes.agg(F.count_if(~F.col("done")), F.count_if("several")).first()
     active_n, several_n = counts[0], counts[1]
     done = nodes.where("done").select(*cols)
     active = nodes.where("not done").select(*cols)
     while active_n:
-        t = done.unionByName(active).select(
+        # Only nodes with children are pointed at.
+        t = done.unionByName(active).where("inner").select(
             F.col("n").alias("m"), F.col("a").alias("a2"), F.col("d").alias("d2"), F.col("done").alias("done2"), *[F.col(k).alias(k + "2") for k in seg]
         )
-        step = scratch.cut(
+        resolved, active = scratch.split(
             active.join(t, F.col("a") == F.col("m")).select(
                 "n",
                 F.col("a2").alias("a"),
                 (F.col("d") + F.col("d2")).alias("d"),
                 F.col("done2").alias("done"),
+                "inner",
                 *[F.concat(k + "2", k).alias(k) for k in seg],
-            )
+            ),
+            "done",
         )
-        left = step.where("not done").count()
-        done = done.unionByName(step.where("done"))
-        active = step.where("not done")
+        left = active.count()
+        done = done.unionByName(resolved)
         if left == active_n:
             break
         active_n = left
@@ -146,6 +149,7 @@ def _settle_blocks(scratch, nodes, links, done, active, paths):
             F.coalesce("b.root", "a").alias("a"),
             (F.col("d") + F.coalesce("b.d", F.lit(0))).alias("d"),
             (F.col("f").isNull() | F.col("g").isNotNull()).alias("done"),
+            "inner",
             *([F.when(F.col("g").isNotNull(), F.concat("b.path", "path")).otherwise(F.col("path")).alias("path")] if paths else []),
         )
     )

@@ -12,6 +12,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +80,22 @@ class Scratch:
         out._scratch_path = at
         return out
 
+    def split(self, df: DataFrame, flag: str) -> tuple[DataFrame, DataFrame]:
+        """Writes a DataFrame once, by a flag, and reads the rows where it holds and where it doesn't as two tables,
+        so that the planner knows the size of each."""
+        at = self.path()
+        df.write.partitionBy(flag).parquet(at)
+        kept = [f for f in df.schema if f.name != flag]
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = []
+        for value in ("true", "false"):
+            part = f"{at}/{flag}={value}"
+            there = fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(part))
+            rows = self.spark.read.schema(StructType(kept)).parquet(part) if there else self.spark.createDataFrame([], StructType(kept))
+            out.append(rows.withColumn(flag, F.lit(value == "true")).select(*df.columns))
+        return out[0], out[1]
+
     def drop(self, df: DataFrame | None) -> None:
         at = getattr(df, "_scratch_path", None)
         if at:
