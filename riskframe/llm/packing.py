@@ -102,12 +102,12 @@ def packed(documents: DataFrame, specs: DataFrame, *, tokenizer: str | None = No
     many tasks, and find their container from the rank by binary search in the shared runs.
 
     Defined cases: null, empty and blank texts (0 tokens for null and empty); equal documents are packed each;
-    capacities that are null, 0 or negative are left out; one spec_no with several capacities counts with the
+    specs without number and capacities that are null, 0 or negative are left out; one spec_no with several capacities counts with the
     greatest; empty tables give an empty result; other columns are ignored.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "packing")
-    wanted = specs.where("capacity_tokens > 0").groupBy("spec_no").agg(F.max("capacity_tokens").alias("capacity"))
+    wanted = specs.where("spec_no is not null and capacity_tokens > 0").groupBy("spec_no").agg(F.max("capacity_tokens").alias("capacity"))
     capacities = dict(wanted.limit(1001).collect())
     if len(capacities) > 1000 or any(c > max_capacity for c in capacities.values()):
         raise ValueError(f"more than 1000 container kinds or a capacity beyond {max_capacity}")

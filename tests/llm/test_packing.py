@@ -50,7 +50,7 @@ def documents(spark, texts):
 def test_containers(spark):
     texts = [(i, "word " * (i % 13 + 1)) for i in range(400)] + [(1000, "x y " * 3000), (1001, None), (1002, ""), (1003, "  \n "), (-1, "no id"), (1004, "same"), (1005, "same"), (1006, "é" * 5000)]
     docs = documents(spark, texts)
-    specs = spark.createDataFrame([(1, "a", 16, "t"), (2, "b", 100, "t"), (3, "bad", None, "t"), (4, "bad", 0, "t"), (2, "b", 100, "t")], SPECS)
+    specs = spark.createDataFrame([(1, "a", 16, "t"), (2, "b", 100, "t"), (3, "bad", None, "t"), (4, "bad", 0, "t"), (None, "bad", 7, "t"), (2, "b", 100, "t")], SPECS)
     sizes = {r["doc_id"]: r["tokens"] for r in sized(docs, ["doc_id"]).collect()}
     rows = packing.packed(docs, specs).collect()
     assert {r["spec_no"] for r in rows} == {1, 2}
