@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import functions as F
@@ -13,11 +14,11 @@ from riskframe.runtime import session
 from riskframe.sources import coverage_reports, files, git, gitcli, mutation_reports
 
 
-def spans_of(spark, path: str):
+def spans_of(spark, path: str, root: str):
     text = spark.read.text(path)
     if text.first()[0].lstrip().startswith("mode:"):
         return coverage_reports.go_profile(text), None
-    return coverage_reports.read_cobertura(spark, path)
+    return coverage_reports.read_cobertura(spark, path, os.path.abspath(root))
 
 
 def analyze(spark, args) -> bool:
@@ -26,7 +27,7 @@ def analyze(spark, args) -> bool:
     callables = s.scratch.cut(s.callables(src))
     spans = matches = ranges = None
     if args.coverage:
-        spans, aliases = spans_of(spark, args.coverage)
+        spans, aliases = spans_of(spark, args.coverage, args.root)
         matches = s.assign_coverage(src.select(F.col("path").alias("file")), spans.select("identity").distinct(), aliases)
     if args.base:
         base, _ = gitcli.merge_base(args.root, args.base)

@@ -13,6 +13,8 @@ STRYKER_STATUS = {
     "RuntimeError": "runtimeError", "Ignored": "ignored",
 }
 GREMLINS_STATUS = {"KILLED": "killed", "LIVED": "survived", "NOT COVERED": "noCoverage", "TIMED OUT": "timedOut", "NOT VIABLE": "compileError", "SKIPPED": "ignored"}
+# Endings of generated files' names.
+GENERATED = (".d.ts", ".g.cs", ".g.i.cs", ".generated.cs", ".designer.cs", ".assemblyinfo.cs", ".assemblyattributes.cs", ".generated.ts", ".generated.tsx", ".gen.ts", ".gen.tsx")
 ACTIONABLE = ("noCoverage", "survived")
 #: Weights of the change-risk score's terms are those of its definition, complexity^2 * (1 - coverage)^3 + complexity.
 
@@ -128,7 +130,7 @@ def is_test_file(p: Column) -> Column:
 
 def is_generated_file(p: Column) -> Column:
     name = F.lower(basename(p))
-    return name.rlike(r"(\.g\.cs|\.g\.i\.cs|\.generated\.cs|\.designer\.cs|\.pb\.go|_generated\.go|\.gen\.go|\.generated\.ts|\.gen\.ts|\.d\.ts|\.generated\.rs)$") | name.startswith("temporarygeneratedfile_")
+    return name.rlike("(" + "|".join(map(re.escape, GENERATED)) + ")$") | name.startswith("temporarygeneratedfile_")
 
 
 def is_supported_source(p: Column) -> Column:
@@ -140,8 +142,8 @@ def is_test_function(file: Column, name: Column) -> Column:
 
 
 def rust_module_path(file: Column) -> Column:
-    """Module path of a Rust file: crate, then its folders below src without mod, lib and main."""
-    inner = F.regexp_replace(F.regexp_replace(file, r"^(.*/)?src/", ""), r"\.rs$", "")
+    """Module path of a Rust file: crate, then its folders without a leading src and without mod, lib and main."""
+    inner = F.regexp_replace(F.regexp_replace(normal_path(file), r"\.[^./]*$", ""), r"^src(/|$)", "")
     inner = F.regexp_replace(inner, r"(^|/)(mod|lib|main)$", "")
     return F.when(inner == "", "crate").otherwise(F.concat(F.lit("crate::"), F.regexp_replace(inner, "/", "::")))
 

@@ -80,21 +80,21 @@ def judged(rows: DataFrame, threshold: float) -> DataFrame:
     modified = (
         ~b["content_sha256"].eqNullSafe(c["content_sha256"])
         | (complexity != 0)
-        | F.coalesce(risk != 0, F.lit(False))
+        | (b["risk"] != c["risk"])
         | F.coalesce(coverage != 0, F.lit(False))
         | ~b["signature"].eqNullSafe(c["signature"])
     )
-    crossed = ~b["above_threshold"] & c["above_threshold"]
+    crossed = comparable & ~b["above_threshold"] & c["above_threshold"]
     reasons = F.array_compact(
         F.array(
             F.when(matched & (complexity > 0), "complexity-increased"),
-            F.when(matched & comparable & (coverage < 0), "coverage-decreased"),
-            F.when(matched & comparable & (risk > 0), "risk-increased"),
-            F.when(matched & comparable & crossed, "threshold-crossed"),
+            F.when(matched & (coverage < 0), "coverage-decreased"),
+            F.when(matched & (risk > 0), "risk-increased"),
+            F.when(matched & crossed, "threshold-crossed"),
             F.when((F.col("status") == "added") & (c["risk"] > threshold), "added-above-threshold"),
         )
     )
-    regression = F.when(matched, comparable & c["above_threshold"] & (F.size(reasons) > 0)).when(F.col("status") == "added", c["risk"] > threshold).otherwise(False)
+    regression = F.when(matched, crossed).when(F.col("status") == "added", c["risk"] > threshold).otherwise(False)
     ids = F.concat(F.transform("baseline", lambda x: F.concat(F.lit("baseline\0"), x["id"])), F.transform("current", lambda x: F.concat(F.lit("current\0"), x["id"])))
     return rows.select(
         fingerprint_list(F.lit("change-scope-comparison-v1"), F.col("status"), ids).alias("comparison_id"),

@@ -349,7 +349,7 @@ def compare_deltas(spark, d):
 @query(
     V_MATCH
     + f""", x AS ({DELTA}) SELECT current_id, CASE WHEN bf <> nf AND complexity <> 0 THEN 'moved-modified' WHEN bf <> nf THEN 'moved' WHEN complexity <> 0 THEN 'modified' ELSE 'unchanged' END AS change,
- comparable AND na AND (complexity > 0 OR coverage_percent < 0 OR risk > 0 OR (NOT ba AND na)) AS regression FROM x"""
+ comparable AND NOT ba AND na AS regression FROM x"""
 )
 def compare_changes(spark, d):
     return comparisons(spark, d).where("status = 'matched'").select(F.col("current")[0]["id"].alias("current_id"), "change", "regression")
@@ -357,7 +357,7 @@ def compare_changes(spark, d):
 
 @query(
     V_MATCH
-    + f""", x AS ({DELTA}), m AS (SELECT count(*) AS matched, count(*) FILTER (comparable AND na AND (complexity > 0 OR coverage_percent < 0 OR risk > 0 OR (NOT ba AND na))) AS r FROM x),
+    + f""", x AS ({DELTA}), m AS (SELECT count(*) AS matched, count(*) FILTER (comparable AND NOT ba AND na) AS r FROM x),
  ad AS (SELECT count(*) AS added, count(*) FILTER (risk > 30) AS r FROM nr JOIN g USING (signature) WHERE cb = 0), re AS (SELECT count(*) AS removed FROM br JOIN g USING (signature) WHERE cn = 0),
  am AS (SELECT count(*) AS ambiguous FROM g WHERE cb > 0 AND cn > 0 AND (cb > 1 OR cn > 1))
  SELECT matched, added, removed, ambiguous, m.r + ad.r AS regressions, ambiguous = 0 AS complete FROM m, ad, re, am"""
@@ -599,7 +599,7 @@ def text_columns(spark, d):
 # Facts from source text (no SQL: a parser).
 def last_sources(spark, d):
     s = table(spark, d, "source_files").where("file_id is not null and content is not null")
-    return s.groupBy("file_id").agg(F.max_by(F.struct("repository", "path", "content"), F.struct("fetched_at", "loaded_at")).alias("s")).select("file_id", F.concat_ws("/", "s.repository", "s.path").alias("path"), "s.content")
+    return s.groupBy("file_id").agg(F.max_by(F.struct("path", "content"), F.struct("fetched_at", "loaded_at")).alias("s")).select("file_id", "s.path", "s.content")
 
 
 @query()
@@ -636,8 +636,7 @@ def resolved_references(spark, d):
     r = refs.select(
         F.concat_ws("#", "file", "index").alias("id"), kind.alias("kind"), "specifier", F.coalesce("scope", F.lit("")).alias("scope"), F.col("file").alias("source_module"), F.col("file").alias("path"), F.lit("").alias("reason")
     )
-    paths = table(spark, d, "source_files").where("file_id is not null and content is not null").groupBy("file_id").agg(F.max_by(F.struct("repository", "path"), F.struct("fetched_at", "loaded_at")).alias("s"))
-    paths = paths.select(F.concat_ws("/", "s.repository", "s.path").alias("path"))
+    paths = table(spark, d, "source_files").where("file_id is not null and content is not null").groupBy("file_id").agg(F.max_by("path", F.struct("fetched_at", "loaded_at")).alias("path"))
     ts = paths.where(F.lower("path").rlike(r"\.tsx?$")).select(F.col("path").alias("module_id"), F.col("path").alias("name"), F.lit("typescript-module").alias("system"), F.lit("").alias("variant"))
     rs = paths.where(F.lower("path").endswith(".rs")).select(F.col("path").alias("module_id"), X.rust_module_path(F.col("path")).alias("name"), F.lit("rust-crate").alias("system"), F.lit("").alias("variant"))
     cs = facts.facts(src.where(F.lower("path").endswith(".cs")), "modules").select(F.concat(F.lit("ns:"), "name").alias("module_id"), "name", "system", F.lit("").alias("variant")).distinct()

@@ -16,41 +16,53 @@ def coverage_format(text):
     return F.when(F.ltrim(F.regexp_replace(text, r"^\s+", "")).startswith("mode:"), "go-coverprofile").otherwise("cobertura")
 
 
-def read_cobertura(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_cobertura(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame]:
     """(coverage spans, aliases) of a Cobertura file."""
     classes = spark.read.format("xml").option("rowTag", "class").schema("_filename string, lines struct<line:array<struct<_number:long,_hits:string>>>").load(path)
     sources = spark.read.format("xml").option("rowTag", "sources").schema("source array<string>").load(path).select(F.explode("source").alias("source"))
-    return cobertura(classes.select(F.col("_filename").alias("filename"), F.explode("lines.line").alias("l")).select("filename", F.col("l._number").alias("number"), F.col("l._hits").alias("hits")), sources)
+    return cobertura(classes.select(F.col("_filename").alias("filename"), F.explode("lines.line").alias("l")).select("filename", F.col("l._number").alias("number"), F.col("l._hits").alias("hits")), sources, root)
 
 
-def cobertura(lines: DataFrame, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def cobertura(lines: DataFrame, sources: DataFrame | None = None, root: str = "") -> tuple[DataFrame, DataFrame]:
     """(spans, aliases) of line hits (filename, number, hits as text).
 
     Repeated lines are merged: covered if any of them has hits. A line below 1, hits that aren't a number, or an empty file
-    name fail the read. Aliases are the file name below each source folder.
+    name fail the read. A relative name is its own identity, with aliases below each source folder (below the root, if the
+    folder is absolute); an absolute name becomes relative to the root or else to the source folders, and is hashed if it
+    lies in none of them, so that no foreign path leaks.
     """
+    folders = [r[0] for r in sources.select(normal_path(F.col("source")).alias("source")).where("source <> ''").distinct().limit(SOURCES + 1).collect()] if sources is not None else []
+    if len(folders) > SOURCES:
+        raise ValueError(f"more than {SOURCES} source folders")
     bad = (F.col("number") < 1) | F.col("number").isNull() | F.col("hits").try_cast("long").isNull() | (F.coalesce(F.trim("filename"), F.lit("")) == "")
+    names = identities(normal_path(F.col("filename")), sorted(f.rstrip("/") for f in folders), root.replace("\\", "/").rstrip("/"))
     checked = lines.select(
-        F.when(bad, F.raise_error(F.concat_ws(" ", F.lit("bad coverage line of"), "filename", F.col("number").cast("string"), "hits")).cast("string")).otherwise(identity_of(F.col("filename"))).alias("identity"),
-        F.col("number").cast("int").alias("line"), (F.col("hits").try_cast("long") > 0).alias("hit"), "filename",
-    )
+        F.when(bad, F.raise_error(F.concat_ws(" ", F.lit("bad coverage line of"), "filename", F.col("number").cast("string"), "hits")).cast("struct<identity:string,aliases:array<string>>")).otherwise(names).alias("i"),
+        F.col("number").cast("int").alias("line"), (F.col("hits").try_cast("long") > 0).alias("hit"),
+    ).select("i.identity", "i.aliases", "line", "hit")
     spans = checked.groupBy("identity", "line").agg(F.bool_or("hit").alias("covered")).select(
         "identity", F.col("line").alias("start_line"), F.lit(0).alias("start_column"), F.col("line").alias("end_line"), F.lit(0).alias("end_column"), F.lit(1).alias("statements"), "covered"
     )
-    names = checked.select("identity", normal_path(F.col("filename")).alias("name")).distinct()
-    folders = [r[0] for r in sources.select(normal_path(F.col("source")).alias("source")).where("source <> ''").distinct().limit(SOURCES + 1).collect()] if sources is not None else []
-    if len(folders) > SOURCES:
-        raise ValueError(f"more than {SOURCES} source folders")
-    below = [F.concat(F.lit(f.rstrip("/") + "/"), "name") for f in sorted(folders)]
-    named = F.when(is_absolute(F.col("name")), F.array("name")).otherwise(F.array("name", *below))
-    aliases = names.select(F.explode(named).alias("alias"), "identity").withColumn("alias", F.regexp_replace("alias", "^/", ""))
-    return spans, aliases.where("alias <> identity").distinct()
-
-
-def identity_of(filename):
-    """A report path in portable form; absolute ones without their folders, so that none leaks: _external/<hash>/<name>."""
-    p = normal_path(filename)
-    return F.when(is_absolute(p), F.concat(F.lit("_external/"), F.substring(F.sha2(p, 256), 1, 12), F.lit("/"), F.substring_index(p, "/", -1))).otherwise(p)
+    aliases = checked.select("identity", F.explode("aliases").alias("alias")).where("alias <> identity").distinct().select("alias", "identity")
+    return spans, aliases
+
+
+def identities(name, folders: list[str], root: str):
+    """(identity, aliases) of a portable file name (column), given the report's source folders and the root."""
+    below = lambda top, p: F.when(p.startswith(top + "/"), F.substring(p, F.lit(len(top) + 2), F.char_length(p)))
+    in_root = below(root, name) if root else F.lit(None).cast("string")
+    absolute = [f for f in folders if _absolute(f)]
+    in_folders = F.array_sort(F.array_distinct(F.array_compact(F.array(*[below(f, name) for f in absolute], F.lit(None).cast("string")))))
+    hashed = F.concat(F.lit("_external/"), F.substring(F.sha2(name, 256), 1, 12), F.lit("/"), F.substring_index(name, "/", -1))
+    far = F.when(in_root.isNotNull(), F.array(in_root)).when(F.size(in_folders) > 0, in_folders).otherwise(F.array(hashed))
+    joined = [normal_path(F.concat(F.lit(f + "/"), name)) for f in folders]
+    near = F.array_sort(F.array_distinct(F.array_compact(F.array(name, *[(below(root, j) if root else F.lit(None).cast("string")) if _absolute(f) else j for f, j in zip(folders, joined)]))))
+    is_far = is_absolute(name)
+    return F.struct(F.when(is_far, far[0]).otherwise(name).alias("identity"), F.when(is_far, far).otherwise(near).alias("aliases"))
+
+
+def _absolute(path: str) -> bool:
+    return path.startswith("/") or path[1:3] == ":/"
 
 
 _BLOCK = r"^(.+):(\d+)\.(\d+),(\d+)\.(\d+) (\d+) (\d+)$"

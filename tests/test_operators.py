@@ -40,7 +40,7 @@ def test_paths(spark):
     assert [one(spark, X.valid_report_path(F.lit(p)))[0] for p in ("a/b", "/a", "C:/a", "a/../b", "")] == [True, False, False, False, False]
     globs = [("a/*", "a/b", True), ("a/*", "a/b/c", False), ("**/api", "x/y/api", True), ("**/api", "api", True), ("a?", "a", True), ("a?", "ab", True), ("", "x", True), ("a.b", "axb", False)]
     assert [one(spark, F.lit(s).rlike(X.glob_regex(g)))[0] for g, s, _ in globs] == [w for *_, w in globs]
-    assert list(one(spark, *[X.rust_module_path(F.lit(p)) for p in ("src/lib.rs", "src/a/mod.rs", "x/src/a/b.rs")])) == ["crate", "crate::a", "crate::a::b"]
+    assert list(one(spark, *[X.rust_module_path(F.lit(p)) for p in ("src/lib.rs", "src/a/mod.rs", "x/src/a/b.rs")])) == ["crate", "crate::a", "crate::x::src::a::b"]
     assert one(spark, X.uri_escaped(F.lit("a b/ü#.go")))[0] == "a%20b/%C3%BC%23.go"
 
 
@@ -77,7 +77,15 @@ def test_coverage_reports(spark, tmp_path):
     p.write_text('<coverage><sources><source>/w/src</source></sources><packages><package><classes><class filename="a/b.cs"><lines><line number="10" hits="1"/><line number="11" hits="0"/></lines></class><class filename="a/b.cs"><lines><line number="11" hits="2"/></lines></class></classes></package></packages></coverage>')
     spans, aliases = coverage_reports.read_cobertura(spark, str(p))
     assert sorted((r["identity"], r["start_line"], r["covered"]) for r in spans.collect()) == [("a/b.cs", 10, True), ("a/b.cs", 11, True)]
-    assert [tuple(r) for r in aliases.collect()] == [("w/src/a/b.cs", "a/b.cs")]
+    assert aliases.count() == 0  # an absolute folder outside the root
+    spans, aliases = coverage_reports.read_cobertura(spark, str(p), "/w")
+    assert [tuple(r) for r in aliases.collect()] == [("src/a/b.cs", "a/b.cs")]
+    src = spark.createDataFrame([("/build/x",), ("rel",)], "source string")
+    names = spark.createDataFrame([("/build/x/a.cs", 1, "1"), ("C:\\q\\b.cs", 1, "0"), ("c.cs", 1, "1"), ("/w/d.cs", 1, "1")], "filename string, number long, hits string")
+    spans, aliases = coverage_reports.cobertura(names, src, "/w")
+    got = sorted(r["identity"] for r in spans.collect())
+    assert got[1:] == ["a.cs", "c.cs", "d.cs"] and got[0].startswith("_external/") and got[0].endswith("/b.cs")
+    assert [tuple(r) for r in aliases.collect()] == [("rel/c.cs", "c.cs")]
     bad = spark.createDataFrame([("a", 0, "1")], "filename string, number long, hits string")
     with pytest.raises(PySparkException):
         coverage_reports.cobertura(bad)[0].collect()
@@ -281,11 +289,11 @@ def test_mutation(spark, tmp_path):
 
 
 def test_discovery(spark):
-    names = ["keep.go", "nested/keep.ts", "nested/drop.ts", "a_test.go", "x.pb.go", "vendor/v.go", "a/vendor/v.go", "a/node_modules/q.ts", "tool/t.go", "ex/e.go", "n.py", "tests/t.rs", "nested/logs/l.ts"]
+    names = ["keep.go", "nested/keep.ts", "nested/drop.ts", "a_test.go", "x.gen.ts", "vendor/v.go", "a/vendor/v.go", "a/node_modules/q.ts", "tool/t.go", "ex/e.go", "n.py", "tests/t.rs", "nested/logs/l.ts", "y.g.cs"]
     f = spark.createDataFrame([(n, False) for n in names] + [("a_test.go", True)], "path string, explicit boolean")
     got = {r["path"]: r["reason"] for r in discovery.discover(f, excludes=["ex/"], tool_ignore="/tool\n", gitignores={"": "*.ts\n!keep.ts\n# c\n", "nested": "logs/\n!logs/l.ts"}).collect()}
     assert got == {
-        "keep.go": None, "nested/keep.ts": None, "nested/drop.ts": "gitignore", "a_test.go": None, "x.pb.go": "generated", "vendor/v.go": "built-in-directory", "a/vendor/v.go": None,
+        "keep.go": None, "nested/keep.ts": None, "nested/drop.ts": "gitignore", "a_test.go": None, "x.gen.ts": "gitignore", "y.g.cs": "generated", "vendor/v.go": "built-in-directory", "a/vendor/v.go": None,
         "a/node_modules/q.ts": "built-in-directory", "tool/t.go": "tool-ignore", "ex/e.go": "explicit-exclude", "n.py": "unsupported", "tests/t.rs": "test", "nested/logs/l.ts": None,
     }
     df = discovery.exclusions(spark.createDataFrame([(f"p{i}", "test") for i in range(9)], "path string, reason string")).first()
