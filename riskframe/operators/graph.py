@@ -144,48 +144,46 @@ def import_edges(references: DataFrame) -> DataFrame:
     ).select(edge_id(F.lit("imports"), F.col("from_id"), F.col("to_id")).alias("id"), F.lit("imports").alias("type"), "from_id", "to_id", "reference_ids", "occurrences")
 
 
-def candidate_names(kind: Column, specifier: Column, scope: Column, path: Column) -> tuple[Column, Column]:
-    """(module names in order of preference, reason if there are none) of a reference, by its language's rules."""
+def with_candidate_names(references: DataFrame) -> DataFrame:
+    """Adds _names (module names in order of preference, null if there are none) and _why (the reason for none).
+
+    Each step is a column of its own, so that long expressions are evaluated once and not wherever they are used.
+    """
+    kind, specifier, scope, path = F.col("kind"), F.col("specifier"), F.coalesce("scope", F.lit("")), F.col("path")
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
-    joined = normal_path(F.concat(folder, F.lit("/"), specifier))
-    joined = F.regexp_replace(joined, "^/", "")
-    relative = specifier.startswith("./") | specifier.startswith("../")
-    escapes = joined.startswith("../") | (joined == "..")
-    ext = F.lower(F.regexp_extract(joined, r"(\.[^./]*)$", 1))
-    stem = F.regexp_replace(joined, r"\.[^./]*$", "")
+    is_ts, is_rust, is_cs, is_go = kind.startswith("typescript-"), kind.startswith("rust-"), kind.startswith("csharp-"), kind == "go-import"
+    parts = F.split(specifier, "::")
+    df = references.withColumn("_joined", F.when(is_ts, F.regexp_replace(normal_path(F.concat(folder, F.lit("/"), specifier)), "^/", "")))
+    df = df.withColumn("_here", F.when(is_rust, F.split(rust_module_path(path), "::"))).withColumn("_supers", F.size(F.split(F.regexp_extract(specifier, r"^((?:super::)*(?:super$)?)", 1), "super")) - 1)
+
+    joined, ext = F.col("_joined"), F.lower(F.regexp_extract("_joined", r"(\.[^./]*)$", 1))
     suffixes = lambda base, ends: F.array(*[F.concat(base, F.lit(e)) for e in ends])
     ts = (
         F.when(ext.isin(".ts", ".tsx"), F.array(joined))
-        .when(ext.isin(".js", ".jsx"), suffixes(stem, (".ts", ".tsx", ".d.ts")))
+        .when(ext.isin(".js", ".jsx"), suffixes(F.regexp_replace(joined, r"\.[^./]*$", ""), (".ts", ".tsx", ".d.ts")))
         .when(ext == "", suffixes(joined, (".ts", ".tsx", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts")))
     )
-    ts_reason = F.when(~relative, "non-relative-specifier").when(escapes, "path-escapes-root").when(ts.isNull(), "unsupported-extension")
-
-    here = F.split(rust_module_path(path), "::")
-    parts = F.split(specifier, "::")
-    supers = F.size(F.split(F.regexp_extract(specifier, r"^((?:super::)*(?:super$)?)", 1), "super")) - 1
-    up = F.size(here) - supers
-    tail = F.slice(parts, supers + 1, F.greatest(F.size(parts) - supers, F.lit(0)))
+    here, up = F.col("_here"), F.size("_here") - F.col("_supers")
     absolute = (
         F.when((kind == "rust-mod") | (parts[0] == "crate"), parts)
         .when(parts[0] == "self", F.concat(here, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))))
-        .when((parts[0] == "super") & (up >= 1), F.concat(F.slice(here, 1, F.greatest(up, F.lit(0))), tail))
+        .when((parts[0] == "super") & (up >= 1), F.concat(F.slice(here, 1, F.greatest(up, F.lit(0))), F.slice(parts, F.col("_supers") + 1, F.greatest(F.size(parts) - F.col("_supers"), F.lit(0)))))
     )
-    rust_reason = F.when((parts[0] == "super") & (up < 1) & (kind != "rust-mod"), "path-escapes-crate-root").when(absolute.isNull(), "non-crate-specifier")
-    rust = F.transform(F.sequence(F.size(absolute), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(absolute, 1, n), "::"))
+    df = df.withColumn("_ts", F.when(is_ts, ts)).withColumn("_rust", F.when(is_rust, absolute))
 
-    bare = F.regexp_replace(specifier, "^global::", "")
-    scopes = F.split(scope, r"\.")
-    scoped = scope.isNotNull() & (scope != "") & (scope != "global::") & ~specifier.startswith("global::")
+    relative = specifier.startswith("./") | specifier.startswith("../")
+    ts_why = F.when(~relative, "non-relative-specifier").when(joined.startswith("../") | (joined == ".."), "path-escapes-root").when(F.col("_ts").isNull(), "unsupported-extension")
+    rust_why = F.when((parts[0] == "super") & (up < 1) & (kind != "rust-mod"), "path-escapes-crate-root").when(F.col("_rust").isNull(), "non-crate-specifier")
+    why = F.when(is_go & (specifier == "C"), "cgo-pseudo-package").when(is_ts, ts_why).when(is_rust, rust_why).when(~(is_go | is_cs), "unsupported-reference-kind")
+    df = df.withColumn("_why", F.coalesce(F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")), why))
+
+    prefixes = F.transform(F.sequence(F.size("_rust"), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice("_rust", 1, n), "::"))
+    bare, scopes = F.regexp_replace(specifier, "^global::", ""), F.split(scope, r"\.")
+    scoped = (scope != "") & (scope != "global::") & ~specifier.startswith("global::")
     # Outermost scope first, the plain name last.
-    cs = F.when(scoped, F.concat(F.transform(F.sequence(F.lit(1), F.size(scopes)), lambda n: F.concat(F.array_join(F.slice(scopes, 1, n), "."), F.lit("."), bare)), F.array(bare))).otherwise(F.array(bare))
-
-    is_ts, is_rust, is_cs, is_go = kind.startswith("typescript-"), kind.startswith("rust-"), kind.startswith("csharp-"), kind == "go-import"
-    names = (
-        F.when(is_go & (specifier != "C"), F.array(specifier)).when(is_ts & ts_reason.isNull(), ts).when(is_rust & rust_reason.isNull(), rust).when(is_cs, cs)
-    )
-    reason = F.when(is_go & (specifier == "C"), "cgo-pseudo-package").when(is_ts, ts_reason).when(is_rust, rust_reason).when(~(is_go | is_cs), "unsupported-reference-kind")
-    return names, reason
+    around = F.transform(F.sequence(F.lit(1), F.size(scopes)), lambda n: F.concat(F.array_join(F.slice(scopes, 1, n), "."), F.lit("."), bare))
+    names = F.when(is_go, F.array(specifier)).when(is_ts, F.col("_ts")).when(is_rust, prefixes).when(is_cs, F.when(scoped, F.concat(around, F.array(bare))).otherwise(F.array(bare)))
+    return df.withColumn("_names", F.when(F.col("_why").isNull(), names)).drop("_joined", "_here", "_supers", "_ts", "_rust")
 
 
 def resolve_references(references: DataFrame, modules: DataFrame) -> DataFrame:
@@ -195,8 +193,8 @@ def resolve_references(references: DataFrame, modules: DataFrame) -> DataFrame:
     modules: module_id, name, system, variant. Candidate names are exploded and meet modules on the name; Rust takes
     the longest name that exists, C# the first, the others all.
     """
-    names, why = candidate_names(F.col("kind"), F.col("specifier"), F.coalesce("scope", F.lit("")), F.col("path"))
-    r = references.withColumn("_why", F.coalesce(F.when(F.coalesce("reason", F.lit("")) != "", F.col("reason")), why)).withColumn("_names", F.when(F.col("_why").isNull(), names))
+    scratch = Scratch(references.sparkSession, "references")
+    r = scratch.cut(with_candidate_names(references))
     tries = r.select("id", "kind", "source_module", F.posexplode("_names").alias("pos", "name"))
     m = modules.select("name", "module_id", "system", F.coalesce("variant", F.lit("")).alias("variant"))
     hits = tries.join(m, "name").where("kind <> 'go-import' or (system = 'go-package' and not variant like '%\\_test')")
