@@ -53,7 +53,7 @@ merged AS (SELECT file, min(s) AS start_line, max(e) AS end_line FROM m2 GROUP B
 V_OWNED = """o1 AS (SELECT file, id, line, row_number() OVER (PARTITION BY file, line ORDER BY depth DESC, start_byte, end_byte, id) AS rn
   FROM (SELECT *, unnest(generate_series(start_line, end_line)) AS line FROM v_callables)),
 o2 AS (SELECT file, id, line, line - row_number() OVER (PARTITION BY file, id ORDER BY line) AS g FROM o1 WHERE rn = 1),
-owned AS (SELECT file, id, min(line) AS start_line, max(line) AS end_line FROM o2 GROUP BY file, id, g)"""
+owned AS (SELECT file, id, CAST(min(line) AS INTEGER) AS start_line, CAST(max(line) AS INTEGER) AS end_line FROM o2 GROUP BY file, id, g)"""
 
 
 def r2(x: str) -> str:
@@ -369,7 +369,7 @@ def compare_summary(spark, d):
 # Code graph.
 @query(
     f"""WITH {LATEST}, c AS (SELECT repository || ':' || file AS f, repository || ':' || language AS module_id, * EXCLUDE (file) FROM latest), mem AS (SELECT DISTINCT module_id, f FROM c)
-SELECT c.module_id, count(DISTINCT c.f) AS files, count(*) AS callables, sum(complexity) AS total_complexity, max(complexity) AS maximum_complexity, count(coverage_percent) AS known_coverage,
+SELECT c.module_id, count(DISTINCT c.f) AS files, count(*) AS callables, CAST(sum(complexity) AS BIGINT) AS total_complexity, max(complexity) AS maximum_complexity, count(coverage_percent) AS known_coverage,
  count(*) - count(coverage_percent) AS unknown_coverage, {r2('round(sum(coverage_percent), 4) / count(coverage_percent)')} AS average_coverage, coalesce(max(risk), 0.0) AS maximum_risk, count(*) FILTER (above_threshold) AS above_threshold
 FROM c GROUP BY c.module_id"""
 )
