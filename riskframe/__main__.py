@@ -1,8 +1,9 @@
-"""Command line: analyze a folder, compare it with a commit, score a mutation report. Exit code 0, 1 (gate) or 2 (error)."""
+"""Command line: analyze a folder, compare it with a commit, check its code graph, score a mutation report. Exit code 0, 1 (gate) or 2 (error)."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
@@ -46,6 +47,39 @@ def analyze(spark, args) -> bool:
     return methods.where("above_threshold").isEmpty()
 
 
+def compare(spark, args) -> bool:
+    """The working tree against the merge base with a commit; the gate fails on a regression."""
+    s = RiskSession(spark, args.threshold)
+    base, _ = gitcli.merge_base(args.root, args.base)
+    entries = [e for e in gitcli.tree(args.root, base) if e[1] in ("100644", "100755") and e[0].lower().endswith((".cs", ".go", ".rs", ".ts", ".tsx"))]
+    blobs = gitcli.blobs(args.root, [e[2] for e in entries])
+    old = spark.createDataFrame([(p, bytearray(blobs[o])) for p, _, o in entries], "path string, content binary")
+    sides = []
+    for src in (old, files.scan_sources(spark, args.root).select("path", "content")):
+        sides.append(s.scratch.cut(s.compared_rows(src, s.score(s.callables(src)))))
+    name = s.compare(*sides)
+    print(s.parts(name)["summary"].toJSON().first())
+    for r in s.parts(name)["comparisons"].where("status <> 'matched' or change <> 'unchanged'").orderBy("comparison_id").toLocalIterator():
+        m = (r["current"] or r["baseline"])[0]
+        print(r["status"], r["change"] or "-", f"{m['file']}:{m['start_line']}", m["name"], ",".join(r["reasons"]))
+    return s.gate(name)
+
+
+def graph(spark, args) -> bool:
+    """Summary of the code graph, import cycles and broken rules."""
+    s = RiskSession(spark, args.threshold)
+    src = files.scan_sources(spark, args.root)
+    name = s.code_graph(src, s.scratch.cut(s.score(s.callables(src))), args.module)
+    parts = s.parts(name, "graph")
+    print(parts["summary"].toJSON().first())
+    named = parts["nodes"].where("kind = 'module'").select("id", F.concat_ws("/", "module.system", "module.name").alias("name"), F.col("module.system").alias("system"))
+    rules = json.loads(open(args.rules, encoding="utf-8").read()) if args.rules else []
+    arch = s.architecture(parts["edges"], named, rules)
+    for r in s.parts(arch)["violations"].orderBy("from", "to", "kind").toLocalIterator():
+        print(r["kind"], r["from"], "->", r["to"], r["reason"])
+    return s.gate(arch)
+
+
 def mutate(spark, args) -> bool:
     schema, read = (mutation_reports.STRYKER, mutation_reports.stryker_mutants) if args.engine == "stryker" else (mutation_reports.GREMLINS, mutation_reports.gremlins_mutants)
     s = RiskSession(spark)
@@ -64,6 +98,17 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--threshold", type=float, default=30.0)
     a.add_argument("--format", choices=("text", "json", "sarif"), default="text")
     a.set_defaults(run=analyze)
+    c = sub.add_parser("compare")
+    c.add_argument("root")
+    c.add_argument("--base", required=True)
+    c.add_argument("--threshold", type=float, default=30.0)
+    c.set_defaults(run=compare)
+    g = sub.add_parser("graph")
+    g.add_argument("root")
+    g.add_argument("--module", default="", help="module name of go.mod")
+    g.add_argument("--rules", help="JSON list of {from, to, system, reason}")
+    g.add_argument("--threshold", type=float, default=30.0)
+    g.set_defaults(run=graph)
     m = sub.add_parser("mutate")
     m.add_argument("report")
     m.add_argument("--engine", choices=("stryker", "gremlins"), required=True)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import above_threshold, risk_score
-from riskframe.operators import compare, coverage, facts, graph, intervals, mutation, review, scope
+from riskframe.operators import build, compare, coverage, facts, graph, intervals, mutation, review, scope
 from riskframe.plans import pages
 from riskframe.runtime import Scratch
+from riskframe.sources.files import content_sha256
 
 
 class RiskSession:
@@ -81,6 +82,19 @@ class RiskSession:
         loops = looped.select("from", "to", F.lit("").alias("system"), F.lit("import cycle").alias("reason"), F.lit(None).cast("int").alias("rule"), F.lit("cycle").alias("kind"))
         return self.keep("architecture", violations=broken.unionByName(loops), cycles=cycles)
 
+    def code_graph(self, files: DataFrame, callables: DataFrame, go_module: str = "") -> str:
+        """The code graph of source files and their scored callables."""
+        nodes, edges, references = build.build_graph(files, callables, go_module)
+        nodes, edges = self.scratch.cut(nodes), self.scratch.cut(edges)
+        return self.keep("graph", nodes=nodes, edges=edges, references=references, summary=graph.graph_summary(nodes, edges))
+
+    def compared_rows(self, files: DataFrame, callables: DataFrame, coverage_format: str = "") -> DataFrame:
+        """Scored callables with the digest of their text and their coverage state, as ``compare`` wants them."""
+        text = files.select(F.col("path").alias("file"), "content")
+        state = F.when(F.lit(coverage_format == ""), "absent").when(F.col("coverage_percent").isNull(), "uninstrumented").otherwise("measured")
+        rows = callables.join(text, "file").withColumn("content_sha256", content_sha256(F.col("content"), F.col("start_byte"), F.col("end_byte"))).drop("content")
+        return rows.withColumn("coverage_format", F.lit(coverage_format)).withColumn("coverage_state", state)
+
     def graph(self, nodes: DataFrame, edges: DataFrame) -> str:
         return self.keep("graph", nodes=nodes, edges=edges, summary=graph.graph_summary(nodes, edges))
 

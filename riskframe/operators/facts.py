@@ -49,6 +49,35 @@ def facts(files: DataFrame, what: str) -> DataFrame:
     return map_arrow(files.select("path", "content"), run, f"file string, language string, index int, {_ddl(what)}")
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """All facts of source files from one parse: file, language and an array of structs for each kind of fact."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    name = lambda c: "int" if c in _INTS else "long" if c in _LONGS else "string"
+    types = {what: pa.list_(pa.struct([(c, kinds[name(c)]) for c in cols])) for what, cols in _COLUMNS.items()}
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {c: [] for c in ("file", "language", *types)}
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                ext = extension(path)
+                if ext is None or not content.is_valid:
+                    continue
+                found = parse(content.as_py(), ext)
+                out["file"].append(path)
+                out["language"].append(LANGUAGES[ext])
+                for what, cols in _COLUMNS.items():
+                    out[what].append([{c: f.get(c) for c in cols} for f in getattr(found, what)])
+            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.string())) for k, v in out.items()], names=list(out))
+
+    ddl = ", ".join(f"{what} array<struct<{', '.join(f'{c}:{name(c).replace('long', 'bigint')}' for c in cols)}>>" for what, cols in _COLUMNS.items())
+    return map_arrow(files.select("path", "content"), run, f"file string, language string, {ddl}")
+
+
+def of_kind(parsed_: DataFrame, what: str) -> DataFrame:
+    """The rows that ``facts`` gives, from parsed files."""
+    return parsed_.select("file", "language", F.posexplode(what).alias("index", "f")).select("file", "language", "index", "f.*")
+
+
 def syntax_errors(files: DataFrame) -> DataFrame:
     """The first error of each file that doesn't parse: path, code, line, column, message."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions import expr as X
-from riskframe.operators import calls, compare, coverage, discovery, facts, graph, intervals, mutation, review, scope
+from riskframe.operators import build, calls, compare, coverage, discovery, facts, graph, intervals, mutation, review, scope
 from riskframe.plans import pages
 from riskframe.runtime import table
 
@@ -622,6 +622,23 @@ def source_modules(spark, d):
     return facts.facts(last_sources(spark, d), "modules").groupBy("language", "system", "name").agg(F.count_distinct("file").alias("files"))
 
 
+def source_graph(spark, d):
+    src = last_sources(spark, d)
+    scored = facts.with_ids(facts.facts(src, "callables")).withColumn("coverage_percent", F.lit(None).cast("double"))
+    scored = scored.withColumn("risk", X.risk_score(F.col("complexity"), F.col("coverage_percent"))).withColumn("above_threshold", X.above_threshold(F.col("risk"), 30.0))
+    return build.build_graph(src, scored)
+
+
+@query()
+def source_graph_nodes(spark, d):
+    return source_graph(spark, d)[0].select("id", "kind", "language", "name", "path", "declaration_kind")
+
+
+@query()
+def source_graph_edges(spark, d):
+    return source_graph(spark, d)[1]
+
+
 @query()
 def source_syntax_gate(spark, d):
     return facts.first_syntax_error(last_sources(spark, d))
@@ -629,18 +646,8 @@ def source_syntax_gate(spark, d):
 
 @query()
 def resolved_references(spark, d):
-    """Imports of the source files resolved among their own modules."""
-    src = last_sources(spark, d)
-    refs = facts.facts(src, "references")
-    kind = F.when(F.col("language") == "go", "go-import").otherwise(F.concat_ws("-", "language", "kind"))
-    r = refs.select(
-        F.concat_ws("#", "file", "index").alias("id"), kind.alias("kind"), "specifier", F.coalesce("scope", F.lit("")).alias("scope"), F.col("file").alias("source_module"), F.col("file").alias("path"), F.lit("").alias("reason")
-    )
-    paths = table(spark, d, "source_files").where("file_id is not null and content is not null").groupBy("file_id").agg(F.max_by("path", F.struct("fetched_at", "loaded_at")).alias("path"))
-    ts = paths.where(F.lower("path").rlike(r"\.tsx?$")).select(F.col("path").alias("module_id"), F.col("path").alias("name"), F.lit("typescript-module").alias("system"), F.lit("").alias("variant"))
-    rs = paths.where(F.lower("path").endswith(".rs")).select(F.col("path").alias("module_id"), X.rust_module_path(F.col("path")).alias("name"), F.lit("rust-crate").alias("system"), F.lit("").alias("variant"))
-    cs = facts.facts(src.where(F.lower("path").endswith(".cs")), "modules").select(F.concat(F.lit("ns:"), "name").alias("module_id"), "name", "system", F.lit("").alias("variant")).distinct()
-    return graph.resolve_references(r, ts.unionByName(rs).unionByName(cs)).groupBy("kind", "resolution", "reason").agg(F.count("*").alias("references"))
+    """Imports of the source files by how they resolve among their own modules."""
+    return source_graph(spark, d)[2].groupBy("kind", "resolution", "reason").agg(F.count("*").alias("references"))
 
 
 @query(

@@ -52,6 +52,17 @@ def test_commands(spark, repo, tmp_path, capsys, monkeypatch):
     assert "75.00 a.go:3 p.F" in capsys.readouterr().out
     assert cli.main(["analyze", str(repo), "--threshold", "1", "--format", "sarif"]) == 1
     assert "RISK001" in capsys.readouterr().out
+    assert cli.main(["compare", str(repo), "--base", "HEAD", "--threshold", "5"]) == 1
+    out = capsys.readouterr().out
+    assert "matched modified a.go:3 p.F complexity-increased,risk-increased,threshold-crossed" in out and "added - b.rs:1 n" in out and "p.G" not in out
+    (repo / "q").mkdir()
+    (repo / "q" / "c.go").write_text('package q\n\nimport "ex.test/m"\n\ntype T struct{}\n\nfunc (t T) M() { func() {}() }\n')
+    (repo / "a.go").write_text('package p\n\nimport "ex.test/m/q"\n')
+    (tmp_path / "rules.json").write_text(json.dumps([{"from": "**/m", "to": "**/q", "reason": "layers"}]))
+    assert cli.main(["graph", str(repo), "--module", "ex.test/m", "--rules", str(tmp_path / "rules.json")]) == 1
+    out = capsys.readouterr().out
+    assert json.loads(out.splitlines()[0]) == {"files": 3, "modules": 3, "types": 1, "callables": 3, "contains": 4, "declares": 0, "member_of": 3, "imports": 2, "occurrences": 9}
+    assert "forbid go-package/ex.test/m -> go-package/ex.test/m/q layers" in out and "cycle " in out
     (tmp_path / "g.json").write_text(json.dumps({"files": [{"file_name": "a.go", "mutations": [{"line": 1, "column": 1, "type": "T", "status": "KILLED"}]}]}))
     assert cli.main(["mutate", str(tmp_path / "g.json"), "--engine", "gremlins"]) == 0
     assert cli.main(["mutate", str(tmp_path / "none.json"), "--engine", "gremlins"]) == 2
