@@ -370,3 +370,15 @@ def test_streams(spark, tmp_path):
     rows([("a", 2, "new")]).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "state/generation=1")).select("id", "v", "x").collect())) == [("a", 2, "new"), ("b", 1, "b")]
+
+
+def test_windows(spark, tmp_path):
+    import datetime as dt
+
+    t = lambda m: dt.datetime(2026, 1, 1, 10, m)
+    spark.createDataFrame([(t(1), "a", 1.0), (t(2), "a", 2.0), (t(7), "b", 4.0), (t(59), "a", 0.0)], "ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    q = upsert.risk_windows(stream).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r["event_type"], r["window"]["start"].minute): (r["n"], r["value"]) for r in spark.table("windows").collect()}
+    assert got.get(("a", 0)) == (2, 3.0) and got.get(("b", 5)) == (1, 4.0)
