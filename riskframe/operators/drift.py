@@ -296,56 +296,176 @@ def match_names(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 
 
-def canonical_names(renames: DataFrame, max_pairs: int = 100_000) -> dict[str, str]:
-    """Each renamed field's canonical name: the first in the alphabet of all names that renames link.
+def _depth_first(renames) -> list:
+    return sorted(renames, key=lambda r: (r[1].count("."), r[1], r[2]))
 
-    The distinct pairs of names come to the driver; their number is bounded by the vocabulary of field names, not
-    by the files, and more than max_pairs of them is an error.
-    """
-    pairs = renames.select("field", "new_field").distinct().limit(max_pairs + 1).collect()
-    if len(pairs) > max_pairs:
-        raise ValueError(f"more than {max_pairs} distinct renames")
-    up: dict[str, str] = {}
 
-    def top(x: str) -> str:
+def _linked(pairs) -> dict:
+    """Each linked key with the least key of its class."""
+    up: dict = {}
+
+    def top(x):
         while up.get(x, x) != x:
             x = up[x]
         return x
 
-    for p in sorted(pairs):
-        a, b = sorted((top(p[0]), top(p[1])))
+    for x, y in pairs:
+        a, b = sorted((top(x), top(y)))
         up[b] = a
         up.setdefault(a, a)
     return {x: top(x) for x in up}
 
 
-def unified_pages(pages: DataFrame, changes: DataFrame, *, payload: str = "payload", keep: tuple[str, ...] = ("record_id", "file_id", "stream", "report_no")) -> DataFrame:
+def _canonical(path: str, names: dict[tuple[str, str], tuple[str, str]]) -> str:
+    """A path with every step under its canonical name, parents first."""
+    out = ""
+    for step in path.split("."):
+        bare = step.removesuffix("[]")
+        out += "." * bool(out) + names.get((out, bare), (out, bare))[1] + step[len(bare) :]
+    return out
+
+
+def canonical_names(renames) -> tuple[dict[tuple[str, str], tuple[str, str]], dict[str | None, list]]:
+    """The classes of names that renames (stream, field, new_field) link, and the links of each stream.
+
+    A name is a pair (canonical path of its parent, own name), so that a name below a renamed container meets the same
+    name below the other; each maps to the first of its class in the alphabet.
+    """
+    pairs: list = []
+    links: dict[str | None, list] = {}
+    names: dict[tuple[str, str], tuple[str, str]] = {}
+    depth = 0
+    for stream, old, new in _depth_first(renames):
+        if old.count(".") > depth:  # the parents' classes are complete
+            depth, names = old.count("."), _linked(pairs)
+        parent, _, a = old.rpartition(".")
+        at = _canonical(parent, names) if parent else ""
+        pair = (at, a), (at, new.rpartition(".")[2])
+        pairs.append(pair)
+        links.setdefault(stream, []).append(pair)
+    return _linked(pairs), links
+
+
+def _groups(objs: list, at: str, names: dict) -> dict[tuple[str, str], list[str]]:
+    """The keys that objects at one path hold, by class."""
+    out: dict[tuple[str, str], list[str]] = {}
+    for k in dict.fromkeys(k for o in objs if o for k in o):
+        out.setdefault(names.get((at, k), (at, k)), []).append(k)
+    return out
+
+
+def _side_by_side(objs: list, keys: list[str]) -> bool:
+    return len(keys) > 1 and any(o and sum(k in o for k in keys) > 1 for o in objs)
+
+
+def _below(values: list) -> tuple[list, list, list]:
+    """For the values of one field: the objects, the arrays of objects and the other values, each with None elsewhere."""
+    many = [isinstance(v, list) and any(isinstance(x, dict) for x in v) for v in values]
+    return [v if isinstance(v, dict) else None for v in values], [v if m else None for v, m in zip(values, many)], [None if m or isinstance(v, dict) else v for v, m in zip(values, many)]
+
+
+def _flat(arrays: list) -> list:
+    return [x if isinstance(x, dict) else None for v in arrays if v is not None for x in v]
+
+
+def clashes(obj: dict, names: dict) -> set[tuple[str, str]]:
+    """The classes of which some object of a record holds two names."""
+    found, stack = set(), [("", [obj])]
+    while stack:
+        at, objs = stack.pop()
+        for name, keys in _groups(objs, at, names).items():
+            if _side_by_side(objs, keys):
+                found.add(name)
+            inner, arrays, _ = _below([o[k] for o in objs if o for k in keys if k in o])
+            path = f"{at}.{name[1]}" if at else name[1]
+            stack += [(p, o) for p, o in ((path, inner), (path + "[]", _flat(arrays))) if any(x is not None for x in o)]
+    return found
+
+
+def unified_fields(obj: dict, names: dict, own: dict) -> dict[str, str]:
+    """The canonical fields of a record with their JSON text.
+
+    Below arrays of objects a field holds the list of its values. ``names`` finds
+    the classes by path; ``own`` are those that hold in the record's stream and give the names. Where an object holds
+    two names of a class, they keep their own.
+    """
+    out: dict[str, str] = {}
+    stack = [("", "", [obj], False)]  # path to look up, path to show, objects there, whether below an array
+    while stack:
+        at, shown, objs, many = stack.pop()
+        for name, keys in _groups(objs, at, own).items():
+            for ks in [[k] for k in keys] if (split := _side_by_side(objs, keys)) else [keys]:
+                label = ks[0] if split else name[1]
+                path = f"{shown}.{label}" if shown else label
+                look = names.get((at, ks[0]), (at, ks[0]))[1]
+                look = f"{at}.{look}" if at else look
+                inner, arrays, plain = _below([next((o[k] for k in ks if k in o), None) if o else None for o in objs])
+                if any(x is not None for x in plain):
+                    out[path] = _text([x for x in plain if x is not None] if many else plain[0])
+                if any(x is not None for x in inner):
+                    stack.append((look, path, inner, many))
+                if any(x is not None for x in arrays):
+                    stack.append((look + "[]", path + "[]", _flat(arrays), True))
+    return dict(sorted(out.items()))
+
+
+def unified_pages(
+    pages: DataFrame,
+    changes: DataFrame,
+    *,
+    file: str = "file_id",
+    stream: str = "stream",
+    payload: str = "payload",
+    keep: tuple[str, ...] = ("record_id", "file_id", "stream", "report_no"),
+    max_pairs: int = 100_000,
+) -> DataFrame:
     """All readable records as one table: the kept columns and ``fields``, a map from canonical field to JSON text.
 
-    Names that a rename links share one canonical name; fields below arrays of objects hold the JSON list of
-    their values; a field that is null or missing isn't in the map. Unreadable records are left out (they are
-    counted by ``profile`` as nothing, too).
+    Names that a rename links share one canonical name, the first in the alphabet, at every step of a path. A stream
+    that holds two linked names in one object follows its own renames there only; where two names still meet in one
+    object both are kept. Fields below arrays of objects hold the JSON list of their values. A field that is null or
+    missing isn't in the map. Unreadable records are left out (they are counted by
+    ``profile`` as nothing, too).
+
+    The distinct renames and clashes by stream come to the driver; their number is bounded by the streams and the
+    vocabulary of field names, not by the files, and more than max_pairs of either is an error.
     """
-    names = canonical_names(changes.where("change = 'renamed'"))
+    files = pages.select(F.col(file).cast("long").alias("f"), F.col(stream).cast("string").alias("s")).distinct()
+    renames = changes.where("change = 'renamed'").select(F.col(file).alias("f"), "field", "new_field").join(files, "f").select("s", "field", "new_field")
+    names, links = canonical_names(map(tuple, _bounded(renames, max_pairs, "renames")))
+    names_of: dict[str | None, dict] = {}
+    if names:
+
+        def meet(batches):
+            for b in batches:
+                found = {(s, *c) for s, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (o := _parse(text)) is not None for c in clashes(o, names)}
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], names=["s", "at", "name"])
+
+        met: dict[str | None, set] = {}
+        for s, at, name in _bounded(map_arrow(pages.select(F.col(stream).cast("string"), payload), meet, "s string, at string, name string"), max_pairs, "clashes"):
+            met.setdefault(s, set()).add((at, name))
+        for s, classes in met.items():
+            own = _linked([p for p in links.get(s, []) if names[p[0]] in classes])
+            names_of[s] = {x: own.get(x, x) if c in classes else c for x, c in names.items()}
 
     def run(batches):
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
+            cols = [b.column(i).to_pylist() for i in (-2, -1)]
             kept, maps = [], []
-            for i, text in enumerate(cols[-1]):
+            for i, (s, text) in enumerate(zip(*cols)):
                 if (o := _parse(text)) is None:
                     continue
-                many: dict[str, list] = {}
-                for path, v in _fields(o):
-                    if v is not None and not isinstance(v, dict) and not (isinstance(v, list) and any(isinstance(x, dict) for x in v)):
-                        many.setdefault(path, []).append(v)
-                out: dict[str, str] = {}
-                for path in sorted(many):
-                    out.setdefault(names.get(path, path), _text(many[path] if "[]" in path else many[path][0]))
                 kept.append(i)
-                maps.append(list(out.items()))
-            yield pa.RecordBatch.from_arrays([*[b.column(j).take(pa.array(kept, pa.int64())) for j in range(b.num_columns - 1)], pa.array(maps, pa.map_(pa.string(), pa.string()))], names=[*keep, "fields"])
+                maps.append(list(unified_fields(o, names, names_of.get(s, names)).items()))
+            yield pa.RecordBatch.from_arrays([*[b.column(j).take(pa.array(kept, pa.int64())) for j in range(len(keep))], pa.array(maps, pa.map_(pa.string(), pa.string()))], names=[*keep, "fields"])
 
-    src = pages.select(*keep, F.col(payload))
+    src = pages.select(*keep, F.col(stream).cast("string").alias("stream of names"), F.col(payload))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name in keep)
     return map_arrow(src, run, f"{types}, fields map<string,string>")
+
+
+def _bounded(rows: DataFrame, limit: int, what: str) -> list:
+    got = rows.distinct().limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"more than {limit} distinct {what}")
+    return got

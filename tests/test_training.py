@@ -158,6 +158,34 @@ def test_schema_changes(spark):
     assert unified[0]["a"] == "1" and unified[3]["a"] == "2" and "b" not in unified[3] and 2 not in unified
 
 
+def unified(spark, data):
+    df = pages(spark, data)
+    return {r["record_id"]: r["fields"] for r in unified_pages(df, schema_changes(df)).collect()}
+
+
+def test_unified_pages_below_renamed_containers(spark):
+    got = unified(
+        spark,
+        [
+            (1, "s", 1, 1, {"cov": {"format": "x", "at": "p"}, "ms": [{"id": 1}, {"id": 2}]}),
+            (2, "s", 2, 1, {"covSource": {"format": "x", "at": "p"}, "msList": [{"id": 1}, {"id": 2}]}),
+            (3, "s", 3, 1, {"covSource": {"fmt": "x", "at": "p"}, "msList": [{"key": 1}, {"key": 2}]}),
+            (4, "t", 1, 9, {"covSource": {"fmt": "y"}}),
+            (5, "u", 1, 8, {"cov": {"fmt": "y"}, "covSource": {"format": "z"}}),
+            (6, "u", 2, 7, {"covSource": {"format": "z"}}),
+        ],
+    )
+    assert got[0] == got[1] == got[2] == {"cov.at": '"p"', "cov.fmt": '"x"', "ms[].id": "[1,2]"}
+    assert got[3] == {"cov.fmt": '"y"'}
+    # A stream that holds both names without renaming them keeps them apart, in all its records.
+    assert got[4] == {"cov.fmt": '"y"', "covSource.fmt": '"z"'} and got[5] == {"covSource.fmt": '"z"'}
+
+
+def test_unified_pages_keep_both_of_two_names_in_one_record(spark):
+    got = unified(spark, [(1, "s", 1, 1, {"a": 1}), (2, "s", 2, 1, {"b": 1}), (3, "s", 3, 1, {"b": 1, "a": 7}), (4, "s", 4, 1, {"b": 1})])
+    assert got == {0: {"a": "1"}, 1: {"a": "1"}, 2: {"a": "7", "b": "1"}, 3: {"a": "1"}}
+
+
 def test_schema_changes_case_only_and_ambiguous_names(spark):
     df = pages(spark, [(1, "s", 1, 1, {"risk": 1, "first_name": "x", "last_name": "x"}), (2, "s", 2, 1, {"RISK": 1, "firstName": "x", "lastName": "x"})])
     assert rows(schema_changes(df)) == [(2, "renamed", "first_name", "firstName"), (2, "renamed", "last_name", "lastName"), (2, "renamed", "risk", "RISK")]
