@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -385,14 +386,14 @@ def clashes(obj: dict, names: dict) -> set[tuple[str, str]]:
 def unified_fields(obj: dict, names: dict, own: dict) -> dict[str, str]:
     """The canonical fields of a record with their JSON text.
 
-    Below arrays of objects a field holds the list of its values. ``names`` finds
+    Below arrays of objects a field holds one position per element, null where the element lacks it. ``names`` finds
     the classes by path; ``own`` are those that hold in the record's stream and give the names. Where an object holds
     two names of a class, they keep their own.
     """
     out: dict[str, str] = {}
-    stack = [("", "", [obj], False)]  # path to look up, path to show, objects there, whether below an array
+    stack = [("", "", [obj], ())]  # path to look up, path to show, objects there, lengths of the arrays around them
     while stack:
-        at, shown, objs, many = stack.pop()
+        at, shown, objs, sizes = stack.pop()
         for name, keys in _groups(objs, at, own).items():
             for ks in [[k] for k in keys] if (split := _side_by_side(objs, keys)) else [keys]:
                 label = ks[0] if split else name[1]
@@ -400,15 +401,24 @@ def unified_fields(obj: dict, names: dict, own: dict) -> dict[str, str]:
                 look = names.get((at, ks[0]), (at, ks[0]))[1]
                 look = f"{at}.{look}" if at else look
                 inner, arrays, plain = _below([next((o[k] for k in ks if k in o), None) if o else None for o in objs])
+                plain = [[None if isinstance(x, dict) else x for x in v] if v and any(x is not None and not isinstance(x, dict) for x in v) else p for v, p in zip(arrays, plain)]
                 if any(x is not None for x in plain):
-                    out[path] = _text([x for x in plain if x is not None] if many else plain[0])
+                    out[path] = _text(_nested(plain, sizes))
                 if any(x is not None for x in inner):
-                    stack.append((look, path, inner, many))
+                    stack.append((look, path, inner, sizes))
                 if any(x is not None for x in arrays):
-                    stack.append((look + "[]", path + "[]", _flat(arrays), True))
+                    stack.append((look + "[]", path + "[]", _flat(arrays), (*sizes, [None if v is None else len(v) for v in arrays])))
     return dict(sorted(out.items()))
 
 
+def _nested(values: list, sizes: tuple):
+    """Values side by side, put back into the arrays around them."""
+    for lengths in reversed(sizes):
+        rest = iter(values)
+        values = [None if n is None else list(islice(rest, n)) for n in lengths]
+    return values[0]
+
+
 def unified_pages(
     pages: DataFrame,
     changes: DataFrame,
@@ -423,8 +433,9 @@ def unified_pages(
 
     Names that a rename links share one canonical name, the first in the alphabet, at every step of a path. A stream
     that holds two linked names in one object follows its own renames there only; where two names still meet in one
-    object both are kept. Fields below arrays of objects hold the JSON list of their values. A field that is null or
-    missing isn't in the map. Unreadable records are left out (they are counted by
+    object both are kept. Fields below arrays of objects hold a JSON list with one position per element (nested for
+    arrays in arrays), null where it lacks the field; elements that aren't objects stand under the array's own path. A
+    field that is null or missing throughout isn't in the map. Unreadable records are left out (they are counted by
     ``profile`` as nothing, too).
 
     The distinct renames and clashes by stream come to the driver; their number is bounded by the streams and the

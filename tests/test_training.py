@@ -186,6 +186,14 @@ def test_unified_pages_keep_both_of_two_names_in_one_record(spark):
     assert got == {0: {"a": "1"}, 1: {"a": "1"}, 2: {"a": "7", "b": "1"}, 3: {"a": "1"}}
 
 
+def test_unified_pages_keep_positions_of_array_elements(spark):
+    a = {"ms": [{"id": 1, "c": 5}, {"id": 2, "c": None}, {"id": 3, "p": {"n": 4}, "t": ["x"]}], "e": [], "x": [1, {"y": 2}]}
+    b = {"ms": [{"id": 1, "s": [{"v": 1}, {"w": 2}]}, {"id": 2}, {"s": [{"v": 3}]}, {"s": []}, None]}
+    got = unified(spark, [(1, "s", 1, 1, a), (1, "s", 1, 2, b)])
+    assert got[0] == {"ms[].id": "[1,2,3]", "ms[].c": "[5,null,null]", "ms[].p.n": "[null,null,4]", "ms[].t": '[null,null,["x"]]', "e": "[]", "x": "[1,null]", "x[].y": "[null,2]"}
+    assert got[1] == {"ms[].id": "[1,2,null,null,null]", "ms[].s": "[null,null,null,[],null]", "ms[].s[].v": "[[1,null],null,[3],null,null]", "ms[].s[].w": "[[null,2],null,[null],null,null]"}
+
+
 def test_schema_changes_case_only_and_ambiguous_names(spark):
     df = pages(spark, [(1, "s", 1, 1, {"risk": 1, "first_name": "x", "last_name": "x"}), (2, "s", 2, 1, {"RISK": 1, "firstName": "x", "lastName": "x"})])
     assert rows(schema_changes(df)) == [(2, "renamed", "first_name", "firstName"), (2, "renamed", "last_name", "lastName"), (2, "renamed", "risk", "RISK")]
