@@ -441,9 +441,22 @@ def scc_members(spark, d):
     return graph.cyclic_components(v_imports(spark, d))
 
 
+def all_imports(spark, d):
+    return v_edges(spark, d).where("type = 'imports'").select("from_id", "to_id")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
+SELECT node, min(other) AS component FROM m GROUP BY node"""
+)
+def import_cycles(spark, d):
+    return graph.cyclic_components(all_imports(spark, d))
+
+
 @query()
 def cycle_witnesses(spark, d):
-    e = v_imports(spark, d)
+    e = all_imports(spark, d)
     return graph.cycle_witnesses(e, graph.cyclic_components(e))
 
 

@@ -23,6 +23,12 @@ def test_runs(spark, name):
     assert df.columns and df.count() >= 0
 
 
+def test_witnesses_cover_all_import_cycles(spark):
+    want = {r[0] for r in oracle.duck(SF).execute(f"SELECT node FROM ({registry.oracle_sql()['import_cycles']})").fetchall()}
+    got = registry.queries()["cycle_witnesses"](spark, SF).collect()
+    assert want and {n for r in got for n in r["modules"]} == want and {n for r in got for n in (r["from_id"], r["to_id"])} <= want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
