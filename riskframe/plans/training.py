@@ -1,4 +1,4 @@
-"""Queries p1, p2, p4 and p5 and, where DuckDB can express them on whole tables, their SQL."""
+"""Queries p1, p2 and p4 and, where DuckDB can express them on whole tables, their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from riskframe.operators.drift import schema_changes, unified_pages
 from riskframe.operators.hierarchy import declared_tree, descendants
 from riskframe.operators.snapshots import method_result_changes
-from riskframe.operators.topn import riskiest_callables
 from riskframe.runtime import table
 
 
@@ -49,11 +48,7 @@ def p4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unified_pages(pages, schema_changes(pages))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return riskiest_callables(table(spark, sf_dir, "callables")).select("repository", "file", "id", "rank_no")
-
-
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_descendants, p4_found, p4_pages, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_hierarchy, p2_descendants, p4_found, p4_pages)}
 
 _P1 = r"""
 WITH last AS (
@@ -106,9 +101,4 @@ UNION ALL SELECT id, '', -1, true, NULL FROM bad""",
     "p2_descendants": _P2
     + """, parts AS (SELECT id, string_split(struct_extract_at(b, 3), '/') AS ids FROM best)
 SELECT ids[i] AS ancestor_id, id AS node_id, CAST(len(ids) - i AS INTEGER) AS distance FROM parts, range(1, len(ids)) t(i)""",
-    "p5_found": """
-WITH last AS (SELECT repository, file, id, max(row(analyzed_at, loaded_at, risk)) AS r FROM callables WHERE id IS NOT NULL GROUP BY 1, 2, 3),
-ranked AS (SELECT repository, file, id, row_number() OVER (PARTITION BY repository, file ORDER BY struct_extract_at(r, 3) DESC, id) AS rank_no
-  FROM last WHERE struct_extract_at(r, 3) IS NOT NULL)
-SELECT repository, file, id, CAST(rank_no AS INTEGER) AS rank_no FROM ranked WHERE rank_no <= 3""",
 }

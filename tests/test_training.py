@@ -1,14 +1,11 @@
-"""Snapshot changes, hierarchies, schema drift and top-n: edge cases and brute force."""
+"""Snapshot changes, hierarchies, schema drift: edge cases and brute force."""
 
 import json
 import random
 
-from pyspark.sql import functions as F
-
 from riskframe.operators.drift import match_names, name_similarity, schema_changes, unified_pages
 from riskframe.operators.hierarchy import declared_tree, descendants, hierarchy
 from riskframe.operators.snapshots import method_result_changes
-from riskframe.operators.topn import riskiest_callables
 
 SNAP = "repository string, snapshot_no int, delivered_at timestamp_ntz, id string, signature string, risk double, scope string, `row` int, version string"
 
@@ -204,15 +201,3 @@ def test_match_names():
     assert name_similarity("a.first_name", "a.firstName") == 1.0
     assert match_names(["b", "a"], ["x"]) in ([("b", "x")], [("a", "x")])
     assert match_names(["minScore", "score"], ["Score", "min_score", "zz"]) == [("minScore", "min_score"), ("score", "Score")]
-
-
-def test_top_n(spark):
-    import datetime as dt
-
-    t = lambda h: dt.datetime(2026, 1, 1, h)
-    data = [("r", "f", f"i{i:03d}", float(i % 7), t(1), t(1)) for i in range(500)] + [("r", "f", "i006", 100.0, t(0), t(9)), ("r", "f", "i013", None, t(2), t(2)), ("r", "g", "n", None, t(1), t(1)), ("r", "h", "nan", float("nan"), t(1), t(1)), (None, "f", "x", 1.0, t(1), t(1)), ("r", "f", None, 9.0, t(1), t(1))]
-    df = spark.createDataFrame(data * 2, "repository string, file string, id string, risk double, analyzed_at timestamp_ntz, loaded_at timestamp_ntz").withColumn("rank_no", F.lit(5)).withColumn("_score", F.lit(1))
-    got = rows(riskiest_callables(df).select("repository", "file", "id", "rank_no"))
-    assert got == sorted([("r", "f", "i006", 1), ("r", "f", "i020", 2), ("r", "f", "i027", 3), (None, "f", "x", 1)], key=repr)
-    assert "WindowGroupLimit" in riskiest_callables(df)._jdf.queryExecution().toString()
-    assert rows(riskiest_callables(df.limit(0))) == []
