@@ -40,16 +40,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p7_selection(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def _p8(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"), **options)
+
+
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+    return _p8(spark, sf_dir)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_scores(spark, sf_dir).where("toxic").select("doc_id")
+    return _p8(spark, sf_dir, passages=False).where("toxic").select("doc_id")
 
 
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.rates(p8_scores(spark, sf_dir))
+    return toxicity.rates(_p8(spark, sf_dir, passages=False))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_diagnostics, p3_rates, p5_found, p6_containers, p6_fill, p7_selection, p7_shares, p8_found, p8_scores, p8_rates)}
