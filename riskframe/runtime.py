@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,15 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, a local session gets a temporary folder of
+    its own; on a cluster, whose machines share no such folder, that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="riskframe-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        where = temporary_dir()
         spark.conf.set("spark.checkpoint.dir", where)
-        atexit.register(shutil.rmtree, where[len("file://"):], ignore_errors=True)
     return where
 
 
+def temporary_dir() -> str:
+    """A folder of this machine, removed at exit; for local sessions only."""
+    where = tempfile.mkdtemp(prefix="riskframe-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    return "file://" + where
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once per application, whether or not it is installed there."""
     sc = spark.sparkContext
@@ -93,7 +103,9 @@ class Scratch:
             part = f"{at}/{flag}={value}"
             there = fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(part))
             rows = self.spark.read.schema(StructType(kept)).parquet(part) if there else self.spark.createDataFrame([], StructType(kept))
-            out.append(rows.withColumn(flag, F.lit(value == "true")).select(*df.columns))
+            rows = rows.withColumn(flag, F.lit(value == "true")).select(*df.columns)
+            rows._scratch_path = part
+            out.append(rows)
         return out[0], out[1]
 
     def drop(self, df: DataFrame | None) -> None:
@@ -119,5 +131,6 @@ def session(app: str = "riskframe", cpus: int | None = None) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", os.environ.get("RISKFRAME_SHARED_DIR") or temporary_dir())
         .getOrCreate()
     )
