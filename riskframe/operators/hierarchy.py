@@ -25,8 +25,8 @@ def hierarchy(edges: DataFrame, *, parent: str, child: str, paths: bool = True)
     some always lies within the doubled distance. Rounds: the logarithm of the depth.
 
     Nodes with several distinct parents are cut out as roots of their own blocks first, so that doubling
-    always follows one pointer; the blocks are then settled in order, a block once all parents of its root
-    are. Such a node gets its smallest (depth, root, path); it is cyclic if any parent is.
+    always follows one pointer; then the blocks are joined by the same doubling over (depth, root, path) minima
+    (``_settle_blocks``). Such a node gets its smallest (depth, root, path); it is cyclic if any parent is.
 
     Result: node_id, root_id, depth, cyclic, and path (array of ids from the root to the node, both
     included; null where cyclic) if asked for. A node on a cycle or below one has root_id '' and depth -1.
@@ -57,6 +57,7 @@ def hierarchy(edges: DataFrame, *, parent: str, child: str, paths: bool = True)
     active_n, several_n = counts[0], counts[1]
     done = nodes.where("done").select(*cols)
     active = nodes.where("not done").select(*cols)
+    before = None
     while active_n:
         # Only nodes with children are pointed at.
         t = done.unionByName(active).where("inner").select(
@@ -74,6 +75,8 @@ def hierarchy(edges: DataFrame, *, parent: str, child: str, paths: bool = True)
             "done",
         )
         left = active.count()
+        scratch.drop(before)
+        before = active
         done = done.unionByName(resolved)
         if left == active_n:
             break
@@ -109,39 +112,43 @@ def _text_of(c: Column) -> Column:
 
 
 def _settle_blocks(scratch, nodes, links, done, active, paths):
-    """Resolves the nodes with several parents and, through them, the nodes of their blocks."""
+    """Resolves the nodes with several parents (forks) and, through them, the nodes of their blocks.
+
+    Every fork has one entry per block that its parents lie in: the block's head (a root or a fork), the least distance
+    to it and the segment of path. Each round follows open entries by the entries of their heads, which doubles the
+    distance; a fork of which no entry is open is settled with its smallest one, a fork with a cyclic parent is
+    cyclic. A round that settles none leaves cycles only. Where following all entries would give more than
+    ``_GROWTH`` times as many as there were, a round follows settled heads only, which never adds entries.
+    """
     forks = nodes.where("several").select(F.col("n").alias("f"))
     heads = links.join(forks, F.col("n") == F.col("f"), "left_semi").distinct()
-    extra = [F.col("path")] if paths else []
-    # The block of each parent of a fork: its root or fork (a), the distance from there (d); a null if it is cyclic.
-    where = done.select(F.col("n").alias("m"), "a", "d", *extra)
-    open_ = scratch.cut(
-        heads.join(where, F.col("p") == F.col("m"), "left").select(
-            F.col("n").alias("f"), "a", (F.col("d") + 1).alias("d"), *([F.concat(F.coalesce("path", F.array().cast("array<binary>")), F.array("n")).alias("path")] if paths else [])
-        )
-    )
-    settled = None
+    seg = F.concat(F.coalesce("path", F.array().cast("array<binary>")), F.array("n")) if paths else F.lit(None).cast("array<binary>")
+    where = done.select(F.col("n").alias("m"), "a", "d", *(["path"] if paths else []))
+    first = heads.join(where, F.col("p") == F.col("m"), "left").select(F.col("n").alias("f"), "a", (F.col("d") + 1).alias("d"), seg.alias("seg"))
+    first = first.join(forks.withColumnRenamed("f", "g"), F.col("a") == F.col("g"), "left").select("f", "a", "d", "seg", F.col("g").isNotNull().alias("open"))
+    entries = scratch.cut(_least_entries(first))
+    limit = _GROWTH * max(entries.count(), 1000)
+    settled, waiting = None, -1
     while True:
-        if settled is None:
-            known = open_.join(forks.withColumnRenamed("f", "g"), F.col("a") == F.col("g"), "left")
-            state = known.select("f", F.when(F.col("a").isNotNull() & F.col("g").isNull(), F.struct("d", F.col("a").alias("root"), *extra)).alias("r"))
-        else:
-            s = settled.select(F.col("f").alias("g"), F.col("best").alias("b"), F.lit(True).alias("hit"))
-            k = forks.select(F.col("f").alias("h"))
-            known = open_.join(s, F.col("a") == F.col("g"), "left").join(k, F.col("a") == F.col("h"), "left")
-            via = F.struct((F.col("d") + F.col("b.d")).alias("d"), F.col("b.root").alias("root"), *([F.concat("b.path", "path").alias("path")] if paths else []))
-            own = F.struct("d", F.col("a").alias("root"), *extra)
-            state = known.select("f", F.when(F.col("hit"), via).when(F.col("a").isNotNull() & F.col("h").isNull(), own).alias("r"))
-        new = scratch.cut(state.groupBy("f").agg(F.min("r").alias("best"), F.count_if(F.col("r").isNull()).alias("waiting")).where("waiting = 0").select("f", "best"))
-        n = new.count()
-        if settled is not None and n == settled_n:
-            break
-        if settled is not None:
-            scratch.drop(settled)
-        settled, settled_n = new, n
-        if n == 0:
+        per = entries.groupBy("f").agg(F.bool_or(F.col("a").isNull()).alias("bad"), F.bool_or("open").alias("open"), F.min(F.struct("d", F.col("a").alias("root"), "seg")).alias("best"))
+        new, rest = scratch.split(per.select("f", F.when(F.col("bad"), None).otherwise(F.col("best")).alias("best"), (F.col("bad") | ~F.col("open")).alias("ready")), "ready")
+        settled = new.select("f", "best") if settled is None else settled.unionByName(new.select("f", "best"))
+        left = rest.count()
+        if left == 0 or left == waiting:
             break
-    of = settled.select(F.col("f").alias("g"), F.col("best").alias("b"))
+        waiting = left
+        kept = scratch.cut(entries.join(rest.select("f"), "f", "left_semi"))
+        scratch.drop(entries)
+        over = settled.select(F.col("f").alias("h"), F.col("best.root").alias("a2"), F.col("best.d").alias("d2"), F.col("best.seg").alias("seg2"), F.lit(False).alias("open2"))
+        still = kept.where("open").join(over.select("h"), F.col("a") == F.col("h"), "left_anti")
+        on = kept.select(F.col("f").alias("h"), F.col("a").alias("a2"), F.col("d").alias("d2"), F.col("seg").alias("seg2"), F.col("open").alias("open2"))
+        wide = kept.count() + still.join(on.groupBy("h").count(), F.col("a") == F.col("h")).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0] > limit
+        step = kept.where("open").join(over if wide else over.unionByName(on), F.col("a") == F.col("h"))
+        step = step.select("f", F.col("a2").alias("a"), (F.col("d") + F.col("d2")).alias("d"), F.concat("seg2", "seg").alias("seg") if paths else F.col("seg"), F.col("open2").alias("open"))
+        parts = kept.where("not open").unionByName(step)
+        entries = scratch.cut(_least_entries(parts.unionByName(still.select(*kept.columns)) if wide else parts))
+        scratch.drop(kept)
+    of = settled.where("best is not null").select(F.col("f").alias("g"), F.col("best").alias("b"))
     known = done.join(of, F.col("a") == F.col("g"), "left").join(forks, F.col("a") == F.col("f"), "left")
     final = scratch.cut(
         known.select(
@@ -150,12 +157,20 @@ def _settle_blocks(scratch, nodes, links, done, active, paths):
             (F.col("d") + F.coalesce("b.d", F.lit(0))).alias("d"),
             (F.col("f").isNull() | F.col("g").isNotNull()).alias("done"),
             "inner",
-            *([F.when(F.col("g").isNotNull(), F.concat("b.path", "path")).otherwise(F.col("path")).alias("path")] if paths else []),
+            *([F.when(F.col("g").isNotNull(), F.concat("b.seg", "path")).otherwise(F.col("path")).alias("path")] if paths else []),
         )
     )
     return final.where("done"), active.unionByName(final.where("not done"))
 
 
+_GROWTH = 4
+
+
+def _least_entries(rows: DataFrame) -> DataFrame:
+    """One entry per fork and head, the nearest; a null head (a cyclic parent) stays."""
+    return rows.groupBy("f", "a").agg(F.min(F.struct("d", "seg")).alias("e"), F.bool_or("open").alias("open")).select("f", "a", "e.d", "e.seg", "open")
+
+
 def descendants(tree: DataFrame) -> DataFrame:
     """Every (ancestor_id, node_id, distance) with distance of 1 or more, of a hierarchy with paths.
 

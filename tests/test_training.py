@@ -114,6 +114,20 @@ def test_hierarchy_against_search(spark):
     assert d["c0", "tail"] == 41 and d["kid", "leaf"] == 1 and ("x", "y") not in d
 
 
+def test_hierarchy_of_many_forks_in_few_rounds(spark, monkeypatch):
+    from riskframe import runtime
+
+    writes, path = [], runtime.Scratch.path
+    monkeypatch.setattr(runtime.Scratch, "path", lambda self: writes.append(1) or path(self))
+    diamonds = [p for i in range(1000) for p in ((f"j{i}", f"a{i}"), (f"j{i}", f"b{i}"), (f"a{i}", f"j{i + 1}"), (f"b{i}", f"j{i + 1}"))]
+    got = {r["node_id"]: (r["root_id"], r["depth"]) for r in hierarchy(edges(spark, diamonds), parent="from_id", child="to_id", paths=False).collect()}
+    assert got["j1000"] == ("j0", 2000) and got["a7"] == ("j0", 15) and len(writes) < 45
+    rng = random.Random(3)
+    ladder = [(f"{y}{i:02d}", f"{x}{i + 1:02d}") for i in range(40) for x in "abc" for y in rng.sample("abc", 2)] + [("z1", "z2"), ("z2", "z1"), ("z2", "f"), ("c19", "f"), ("f", "g")]
+    tree = hierarchy(edges(spark, ladder), parent="from_id", child="to_id")
+    assert {r["node_id"]: (r["root_id"], r["depth"]) for r in tree.collect()} == brute(ladder)
+
+
 def test_hierarchy_types_and_empty(spark):
     df = edges(spark, [("a" * 64, "b" * 64)], " \tDeclares\n").unionByName(edges(spark, [("q", "r")], "imports")).unionByName(edges(spark, [("q", "r")], None))
     assert rows(declared_tree(df, paths=False).select("node_id", "root_id", "depth")) == [("a" * 64, "a" * 64, 0), ("b" * 64, "a" * 64, 1)]
