@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import fingerprint, nullable_delta
@@ -12,63 +12,70 @@ def with_declaration(callables: DataFrame) -> DataFrame:
     return callables.withColumn("declaration", fingerprint(F.lit("callable-declaration-v1"), F.col("language"), F.col("kind"), F.col("name"), F.col("signature")))
 
 
-def _counted(df: DataFrame, side: str) -> DataFrame:
-    """Rows with how often their id and declaration occur on their side."""
-    return df.select(
-        F.struct(*df.columns).alias(side),
-        F.col("id").alias("id"),
-        F.col("declaration").alias("declaration"),
-        F.count("*").over(Window.partitionBy("id")).alias("n_id"),
-        F.count("*").over(Window.partitionBy("declaration")).alias("n_decl"),
-    )
+def _sole(df: DataFrame) -> DataFrame:
+    """The ids (with declaration) of which both occur once on their side; from counts, never from windows over a hot key."""
+    ids = df.groupBy("id").agg(F.count("*").alias("n_id"))
+    decls = df.groupBy("declaration").agg(F.count("*").alias("n_decl"), F.min("id").alias("id"))
+    return decls.where("n_decl = 1").join(ids.where("n_id = 1"), "id").select("id")
 
 
 def compared(baseline: DataFrame, current: DataFrame, *, threshold: float = 30.0) -> DataFrame:
     """One row per comparison.
 
     Columns: comparison_id, status (matched, ambiguous, added, removed), strategy (id, declaration or null), change
-    (unchanged, moved, modified, moved-modified or null), baseline and current (arrays of rows; one each if matched),
-    delta (complexity, coverage_percent, risk, comparable), regression, reasons.
+    (unchanged, moved, modified, moved-modified or null), baseline and current (arrays of rows; one each if matched,
+    none if ambiguous), baseline_rows and current_rows (their numbers), declaration, delta (complexity, coverage_percent,
+    risk, comparable), regression, reasons.
 
     A pair matches by id if id and declaration are unique on both sides; the rest matches by declaration if that is unique
     on both sides among the rest, is one ambiguous group if it occurs on both sides otherwise, and is added or
-    removed if it occurs on one. Rows need: id, language, kind, name, signature, file, complexity, coverage_percent, risk,
-    above_threshold, content_sha256, coverage_format, coverage_state.
+    removed if it occurs on one. An ambiguous group may hold a third of all rows (``main()``), hence its rows are not
+    gathered in one; ``ambiguous_rows`` lists them. Rows need: id, language, kind, name, signature, file, complexity,
+    coverage_percent, risk, above_threshold, content_sha256, coverage_format, coverage_state.
     """
-    b, c = _counted(with_declaration(baseline), "b"), _counted(with_declaration(current), "c")
-    sole = "n_id = 1 and n_decl = 1"
-    by_id = b.where(sole).select("b", "id").join(c.where(sole).select("c", "id"), "id")
-    b_rest = b.join(by_id.select("id"), "id", "left_anti").select("b", "declaration")
-    c_rest = c.join(by_id.select("id"), "id", "left_anti").select("c", "declaration")
-    left = b_rest.groupBy("declaration").agg(F.array_sort(F.collect_list("b"), lambda x, y: _order(x, y)).alias("bs"))
-    right = c_rest.groupBy("declaration").agg(F.array_sort(F.collect_list("c"), lambda x, y: _order(x, y)).alias("cs"))
-    groups = left.join(right, "declaration", "full")
-    nb, nc = F.coalesce(F.size("bs"), F.lit(0)), F.coalesce(F.size("cs"), F.lit(0))
-    grouped = groups.where(F.col("bs").isNotNull() & F.col("cs").isNotNull()).select(
-        F.when((nb == 1) & (nc == 1), "matched").otherwise("ambiguous").alias("status"),
-        F.when((nb == 1) & (nc == 1), "declaration").alias("strategy"),
-        F.col("bs").alias("baseline"),
-        F.col("cs").alias("current"),
-    )
-    none_b, none_c = F.filter(F.array("b"), lambda x: F.lit(False)), F.filter(F.array("c"), lambda x: F.lit(False))
-    only_b = groups.where(F.col("cs").isNull()).select(F.explode("bs").alias("b")).select(
-        F.lit("removed").alias("status"), F.lit(None).cast("string").alias("strategy"), F.array("b").alias("baseline"), none_b.alias("current")
-    )
-    only_c = groups.where(F.col("bs").isNull()).select(F.explode("cs").alias("c")).select(
-        F.lit("added").alias("status"), F.lit(None).cast("string").alias("strategy"), none_c.alias("baseline"), F.array("c").alias("current")
-    )
-    matched = by_id.select(F.lit("matched").alias("status"), F.lit("id").alias("strategy"), F.array("b").alias("baseline"), F.array("c").alias("current"))
-    return judged(matched.unionByName(grouped).unionByName(only_b).unionByName(only_c), threshold)
-
-
-def _order(x, y):
-    a, b = x["id"], y["id"]
-    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    b, c = with_declaration(baseline), with_declaration(current)
+    by_id, b_rest, c_rest = _rests(b, c)
+    row = lambda df, side: df.select("id", "declaration", F.struct(*df.columns).alias(side))
+    none_b, none_c = (F.array().cast(f"array<{row(df, 'r').schema['r'].dataType.simpleString()}>") for df in (b, c))
+    kinds = _kinds(b_rest, c_rest)
+    none = F.lit(None).cast("string")
+    pair = lambda df: df.select(F.lit("matched").alias("status"), "strategy", F.array("b").alias("baseline"), F.array("c").alias("current"), "declaration")
+    same_id = row(b, "b").join(by_id, "id").join(row(c, "c").drop("declaration").join(by_id, "id"), "id").withColumn("strategy", F.lit("id"))
+    one = kinds.where("nb = 1 and nc = 1").select("declaration")
+    same_decl = row(b_rest, "b").drop("id").join(one, "declaration").join(row(c_rest, "c").drop("id").join(one, "declaration"), "declaration").withColumn("strategy", F.lit("declaration"))
+    only_b = row(b_rest, "b").join(kinds.where("nc = 0").select("declaration"), "declaration", "left_semi").select(F.lit("removed").alias("status"), none.alias("strategy"), F.array("b").alias("baseline"), none_c.alias("current"), "declaration")
+    only_c = row(c_rest, "c").join(kinds.where("nb = 0").select("declaration"), "declaration", "left_semi").select(F.lit("added").alias("status"), none.alias("strategy"), none_b.alias("baseline"), F.array("c").alias("current"), "declaration")
+    groups = kinds.where("nb > 0 and nc > 0 and (nb > 1 or nc > 1)").select(F.lit("ambiguous").alias("status"), none.alias("strategy"), none_b.alias("baseline"), none_c.alias("current"), "declaration", "nb", "nc")
+    rows = pair(same_id).unionByName(pair(same_decl)).unionByName(only_b).unionByName(only_c)
+    rows = rows.withColumn("nb", F.size("baseline").cast("long")).withColumn("nc", F.size("current").cast("long"))
+    return judged(rows.unionByName(groups), threshold)
+
+
+def _rests(b: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ids that match by id, and the rows of each side that don't."""
+    by_id = _sole(b).join(_sole(c), "id")
+    return by_id, b.join(by_id, "id", "left_anti"), c.join(by_id, "id", "left_anti")
+
+
+def _kinds(b_rest: DataFrame, c_rest: DataFrame) -> DataFrame:
+    """declaration, nb, nc: how often each declaration is left on either side."""
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0)).alias(n)
+    nb, nc = (df.groupBy("declaration").agg(F.count("*").alias(n)) for df, n in ((b_rest, "nb"), (c_rest, "nc")))
+    return nb.join(nc, "declaration", "full").select("declaration", zero("nb"), zero("nc"))
+
+
+def ambiguous_rows(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of the ambiguous groups: side (baseline or current), declaration, then the row's own columns."""
+    b, c = with_declaration(baseline), with_declaration(current)
+    _, b_rest, c_rest = _rests(b, c)
+    groups = _kinds(b_rest, c_rest).where("nb > 0 and nc > 0 and (nb > 1 or nc > 1)").select("declaration")
+    parts = [df.join(groups, "declaration", "left_semi").select(F.lit(side).alias("side"), *b.columns) for df, side in ((b_rest, "baseline"), (c_rest, "current"))]
+    return parts[0].unionByName(parts[1])
 
 
 def judged(rows: DataFrame, threshold: float) -> DataFrame:
     """Change, delta, regression and reasons of comparison rows."""
-    b, c = F.col("baseline")[0], F.col("current")[0]
+    b, c = F.try_element_at("baseline", F.lit(1)), F.try_element_at("current", F.lit(1))
     matched = F.col("status") == "matched"
     comparable = (b["coverage_format"].eqNullSafe(c["coverage_format"])) & (
         ((b["coverage_state"] == "measured") & (c["coverage_state"] == "measured")) | ((b["coverage_state"] == "absent") & (c["coverage_state"] == "absent"))
@@ -95,14 +102,19 @@ def judged(rows: DataFrame, threshold: float) -> DataFrame:
         )
     )
     regression = F.when(matched, crossed).when(F.col("status") == "added", c["risk"] > threshold).otherwise(False)
+    # An ambiguous group is known by its declaration, any other comparison by the ids of its rows.
+    group = F.array(F.concat(F.lit("declaration\0"), F.col("declaration")))
     ids = F.concat(F.transform("baseline", lambda x: F.concat(F.lit("baseline\0"), x["id"])), F.transform("current", lambda x: F.concat(F.lit("current\0"), x["id"])))
     return rows.select(
-        fingerprint_list(F.lit("change-scope-comparison-v1"), F.col("status"), ids).alias("comparison_id"),
+        fingerprint_list(F.lit("change-scope-comparison-v1"), F.col("status"), F.when(F.col("status") == "ambiguous", group).otherwise(ids)).alias("comparison_id"),
         "status",
         "strategy",
         F.when(matched, F.when(moved & modified, "moved-modified").when(moved, "moved").when(modified, "modified").otherwise("unchanged")).alias("change"),
         "baseline",
         "current",
+        F.col("nb").alias("baseline_rows"),
+        F.col("nc").alias("current_rows"),
+        "declaration",
         F.when(matched, F.struct(complexity.alias("complexity"), coverage.alias("coverage_percent"), risk.alias("risk"), comparable.alias("comparable"))).alias("delta"),
         F.coalesce(regression, F.lit(False)).alias("regression"),
         reasons.alias("reasons"),

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.expr import basename, path_match_rank
+from riskframe.functions.expr import path_match_rank
 from riskframe.runtime import Scratch
 
 
+def _suffixes(path: Column) -> Column:
+    """A path and what is left of it after each of its folders."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+
+
 def path_candidates(files: DataFrame, identities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(file, identity, rank) of every identity, or alias of one, that a file can match with rank 1 to 3.
 
-    files: file; identities: identity; aliases: alias, identity. All three kinds of match imply equal base names
-    without case, so the sides meet on that key and nothing else is compared.
+    files: file; identities: identity; aliases: alias, identity. Every match is equality without case of one side's path
+    with the other's, or with what is left of it after some of its folders; the sides meet by equality on these, so that
+    only pairs that match come out, however many files are named ``index.ts``.
     """
     names = identities.select(F.col("identity").alias("alias"), "identity")
     if aliases is not None:
         names = names.unionByName(aliases.select("alias", "identity"))
-    left = files.select("file").distinct().withColumn("key", F.lower(basename(F.col("file"))))
-    right = names.distinct().withColumn("key", F.lower(basename(F.col("alias"))))
-    ranked = left.join(right, "key").select("file", "identity", path_match_rank(F.col("file"), F.col("alias")).alias("rank")).where("rank > 0")
+    left = files.select("file").where("file is not null").distinct().withColumn("low", F.lower("file"))
+    right = names.where("alias is not null").distinct().withColumn("low", F.lower("alias"))
+    longer = left.select("file", F.explode(_suffixes(F.col("low"))).alias("key")).join(right.withColumnRenamed("low", "key"), "key")
+    shorter = right.select("alias", "identity", F.explode(_suffixes(F.col("low"))).alias("key"), "low").where("key <> low").join(left.withColumnRenamed("low", "key"), "key")
+    met = longer.select("file", "alias", "identity").unionByName(shorter.select("file", "alias", "identity"))
+    ranked = met.select("file", "identity", path_match_rank(F.col("file"), F.col("alias")).alias("rank")).where("rank > 0")
     return ranked.groupBy("file", "identity").agg(F.max("rank").alias("rank"))
 
 
@@ -30,7 +40,7 @@ def unique_claims(candidates: DataFrame) -> DataFrame:
     return single.groupBy("identity").agg(F.count("*").alias("claims"), F.min("file").alias("file")).where("claims = 1").select("file", "identity")
 
 
-def assign_paths(files: DataFrame, identities: DataFrame, aliases: DataFrame | None = None, max_rounds: int = 1000) -> DataFrame:
+def assign_paths(files: DataFrame, identities: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Coverage identity of each file: file, kind (exact, suffix, case-folded, ambiguous, unmatched), identity, candidates.
 
     Ranks go from exact to case-folded. In each, rounds give identities with exactly one single-candidate claimant to
@@ -48,7 +58,7 @@ def assign_paths(files: DataFrame, identities: DataFrame, aliases: DataFrame | N
         if ambiguous is not None:
             left = left.join(ambiguous.select("file").distinct(), "file", "left_anti")
         left = scratch.cut(left.select("file", "identity"))
-        for _ in range(max_rounds):
+        while True:  # every round settles a file
             new = scratch.cut(unique_claims(left).withColumn("kind", F.lit(kinds[rank])))
             if new.isEmpty():
                 break

@@ -278,103 +278,110 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, seeds: list[str], *, direct
     return kept, reach.join(F.broadcast(final), "edge", "left_semi").select(F.col("edge").alias("id"), "from_id", "to_id").distinct(), counts
 
 
-def cyclic_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _least_labels(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
+    """node, f, t: of all nodes that reach a node over edges (a, b), and of all that it reaches, itself included, the one
+    with the least priority (a hash of node and turn).
+
+    Both directions run side by side. A step takes the least label over the edges in and then the label of the labelled
+    node, which lets labels jump; each write holds two steps.
+    """
+    ways = scratch.cut(edges.select(F.lit(True).alias("on"), "a", "b").unionByName(edges.select(F.lit(False).alias("on"), F.col("b").alias("a"), F.col("a").alias("b"))))
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node").alias("l")
+    at = scratch.cut(nodes.select("node", label).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("on"), "node", "l"))
+
+    def step(now: DataFrame) -> DataFrame:
+        down = ways.join(now.select("on", F.col("node").alias("a"), "l"), ["on", "a"]).groupBy("on", F.col("b").alias("node")).agg(F.min("l").alias("l2"))
+        new = now.join(down, ["on", "node"], "left").withColumn("l", F.least("l", "l2")).drop("l2")
+        heads = new.select(F.col("on").alias("on2"), F.col("node").alias("head"), F.col("l").alias("l3"))
+        return new.join(heads, (F.col("on") == F.col("on2")) & (F.col("l.node") == F.col("head"))).withColumn("l", F.least("l", "l3")).select("on", "node", "l", "was")
+
+    while True:
+        nxt = scratch.cut(step(step(at.select("on", "node", "l", F.col("l").alias("was")))))
+        scratch.drop(at)
+        at = nxt
+        if at.where("l <> was").isEmpty():
+            break
+    out = scratch.cut(at.groupBy("node").agg(F.max(F.when(F.col("on"), F.col("l.node"))).alias("f"), F.max(F.when(~F.col("on"), F.col("l.node"))).alias("t")))
+    scratch.drop(ways), scratch.drop(at)
+    return out
+
+
+def cyclic_components(edges: DataFrame) -> DataFrame:
     """Strongly connected components with more than one member or a self-loop: node, component (its least node).
 
-    Method: trimming and forward-backward colouring. Nodes without an edge in or out of what is left can't be on a
-    cycle and go first. Then every node takes the least node that reaches it (colour, by joins with pointer
-    jumps over the colours), and from each colour's root the nodes of its colour that reach the root form its component;
-    they leave and the rest goes on.
+    Method: forward-backward labels with random priorities. In each round every node gets the least label that
+    reaches it and the least that it reaches, by a hash of node and round. Where both agree, the node is in the component
+    of that label's node, and the whole component is found; elsewhere edges between different labels can't be on a cycle
+    and go. Chains fall apart at random places, so the number of rounds grows with the logarithm of the graph. Nodes without an edge in or
+    out of what is left are trimmed before each round. Rounds go on until no edge is left.
     """
     scratch = Scratch(edges.sparkSession, "components")
     e = scratch.cut(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a is not null and b is not null").distinct())
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    out, left = None, scratch.cut(e.where("a <> b"))
-    for _ in range(max_rounds * 1000):
-        while True:  # trim
-            n = left.count()
-            trimmed = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-            trimmed = scratch.cut(trimmed)
-            m = trimmed.count()
-            scratch.drop(left)
-            left = trimmed
-            if m == n or m == 0:
-                break
-        if m == 0:
-            break
-        colour = scratch.cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("c")))
-        step = colour
-        while True:  # the least node that reaches each node
-            down = left.join(colour.select(F.col("node").alias("a"), "c"), "a").groupBy("b").agg(F.min("c").alias("c2"))
-            new = colour.join(down, colour["node"] == down["b"], "left").select("node", "c", F.least("c", F.coalesce("c2", "c")).alias("n"))
-            jump = new.join(new.select(F.col("node").alias("n"), F.col("n").alias("nn")), "n")
-            last, step = step, scratch.cut(jump.select("node", F.least("n", "nn").alias("c"), (F.least("n", "nn") != F.col("c")).alias("moved")))
-            scratch.drop(last)
-            colour = step.select("node", "c")
-            if step.where("moved").isEmpty():
-                break
-        same = scratch.cut(
-            left.join(colour.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(colour.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").select("a", "b", F.col("ca").alias("c"))
-        )
-        inside = colour.where("node = c").select("node", "c")
-        frontier = scratch.cut(inside)
-        inside = frontier
-        while True:  # who reaches the root within the colour
-            nxt = same.join(frontier.select(F.col("node").alias("b")), "b").select(F.col("a").alias("node"), "c").distinct().join(inside.select("node"), "node", "left_anti")
-            frontier = scratch.cut(nxt)
-            if frontier.isEmpty():
-                break
-            inside = inside.unionByName(frontier)
-        inside = scratch.cut(inside)
-        out = inside if out is None else out.unionByName(inside)
-        gone = inside.select("node")
-        left = scratch.cut(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select("a", "b"))
+    found, left, turn = None, e.where("a <> b"), 0
+    while True:
+        for _ in range(2):
+            left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+        left = scratch.cut(left)
         if left.isEmpty():
             break
-    if out is None:
+        both = _least_labels(scratch, left, turn)
+        done = scratch.cut(both.where("f = t").select("node", F.col("f").alias("c")))
+        found = done if found is None else found.unionByName(done)
+        open_ = both.where("f <> t")
+        of = lambda x: open_.select(F.col("node").alias(x), F.struct("f", "t").alias("l" + x))
+        left = left.join(of("a"), "a").join(of("b"), "b").where("la = lb").select("a", "b")
+        turn += 1
+    if found is None:
         return loops.distinct()
-    sized = out.groupBy(F.col("c").alias("component")).agg(F.count("*").alias("n")).where("n > 1").select("component")
-    big = out.select("node", F.col("c").alias("component")).join(sized, "component", "left_semi").select("node", "component")
-    return big.unionByName(loops.join(big.select("node"), "node", "left_anti"))
+    big = found.groupBy("c").agg(F.count("*").alias("n"), F.min("node").alias("component")).where("n > 1").select("c", "component")
+    named = found.join(big, "c").select("node", "component")
+    return named.unionByName(loops.join(named.select("node"), "node", "left_anti"))
 
 
 def peeled_cycles(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Edges of simple cycles taken off a component one after the other, in order, until none is left."""
+    """Edges of simple cycles taken off a component one after the other, in order, until none is left.
+
+    Each cycle is the one met first by depth-first search from the least node that lies on one, neighbors in order, and
+    starts at its least node. What lies before a node's mark, and nodes that were left, can't be on a later cycle, hence
+    the search goes on where it was and takes time in proportion to the edges.
+    """
     out_: dict[str, list[str]] = {}
     for a, b in sorted(set(pairs)):
         out_.setdefault(a, []).append(b)
+    mark = dict.fromkeys(out_, 0)
     witness: list[tuple[str, str]] = []
-    while True:
-        cycle = _first_cycle(out_)
-        if cycle is None:
-            return witness
-        for a, b in zip(cycle, cycle[1:] + cycle[:1]):
-            witness.append((a, b))
-            out_[a].remove(b)
-
-
-def _first_cycle(out_: dict[str, list[str]]) -> list[str] | None:
-    """A cycle met first by depth-first search from the least node that lies on one, neighbors in order; least node first."""
     done: set[str] = set()
     for root in sorted(out_):
         if root in done:
             continue
-        path, at, it = [root], {root: 0}, [iter(out_.get(root, ()))]
+        path, at = [root], {root: 0}
         while path:
-            nxt = next(it[-1], None)
-            if nxt is None:
-                done.add(path[-1])
+            node = path[-1]
+            to = out_.get(node, ())
+            i = mark.get(node, 0)
+            if i >= len(to):
+                done.add(node)
                 del at[path.pop()]
-                it.pop()
-            elif nxt in at:
+                continue
+            nxt = to[i]
+            if nxt in at:
                 cycle = path[at[nxt] :]
+                for x in cycle:  # their edges to the next are off
+                    mark[x] += 1
+                for x in cycle[1:]:
+                    del at[x]
+                del path[at[nxt] + 1 :]
                 k = cycle.index(min(cycle))
-                return cycle[k:] + cycle[:k]
-            elif nxt not in done:
+                cycle = cycle[k:] + cycle[:k]
+                witness += zip(cycle, cycle[1:] + cycle[:1])
+            elif nxt in done:
+                mark[node] += 1
+            else:
                 at[nxt] = len(path)
                 path.append(nxt)
-                it.append(iter(out_.get(nxt, ())))
-    return None
+    return witness
 
 
 def cycle_witnesses(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -422,23 +429,53 @@ def forbidden(edges: DataFrame, names: DataFrame, rules: list[dict]) -> DataFram
     return named.withColumn("hit", F.explode(hits)).select("from", "to", "system", "hit.reason", "hit.rule")
 
 
-def affected_tests(edges: DataFrame, seeds: DataFrame, tests: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def affected_tests(edges: DataFrame, seeds: DataFrame, tests: DataFrame) -> DataFrame:
     """Tests that reach a changed function over call edges: test, distance (least), seeds (sorted).
 
-    edges: from_id, to_id; seeds: id; tests: id. The frontier of (seed, node) pairs goes against the edges level by
-    level; pairs that were seen are dropped. Distances are those of breadth-first search; a test that is itself a seed and
+    edges: from_id, to_id; seeds: id; tests: id. A function with a single callee that isn't a seed is reached through
+    that one only: such functions get a pointer to the first other function on their way and the distance to it, by pointer doubling. Between
+    the others, the frontier of (seed, node, distance) that have become nearer goes against the edges until none does,
+    however long the ways are. Distances are those of breadth-first search; a test that is itself a seed and
     also reachable from another keeps the other's distance, as a stored 0 counts as unset.
     """
     scratch = Scratch(edges.sparkSession, "reach")
     back = scratch.cut(edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("caller")).where("node is not null and caller is not null").distinct())
-    frontier = scratch.cut(seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("distance")).distinct())
-    seen = frontier
-    for level in range(1, max_rounds):
-        nxt = frontier.select("seed", "node").join(back, "node").select("seed", F.col("caller").alias("node")).distinct().join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        frontier = scratch.cut(nxt.withColumn("distance", F.lit(level)))
+    start = scratch.cut(seeds.select(F.col("id").alias("seed")).where("seed is not null").distinct())
+    callees = back.groupBy("caller").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    single = callees.where("n = 1 and caller <> node").join(start.select(F.col("seed").alias("caller")), "caller", "left_anti").select(F.col("caller").alias("x"), F.col("node").alias("head"), F.lit(1).alias("far"))
+    way = scratch.cut(single)
+    open_n = -1
+    while True:
+        on = way.select(F.col("x").alias("h"), F.col("head").alias("head2"), F.col("far").alias("far2"))
+        nxt = scratch.cut(way.join(on, F.col("head") == F.col("h"), "left").select("x", F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("h").isNotNull().alias("open")))
+        n = nxt.where("open").count()
+        scratch.drop(way)
+        way = nxt.select("x", "head", "far")
+        way._scratch_path = nxt._scratch_path
+        if n == 0 or n == open_n:  # what stays open is on or above a ring that no seed is on
+            ring = nxt.where("open").select("x")
+            break
+        open_n = n
+    way = way.join(ring, "x", "left_anti")
+    # Edges into functions that several ways lead to, from the head of their callee.
+    merge = back.join(way.select(F.col("x").alias("caller")), "caller", "left_anti").join(ring.select(F.col("x").alias("caller")), "caller", "left_anti")
+    hops = merge.join(way, F.col("node") == F.col("x"), "left").groupBy(F.coalesce("head", "node").alias("node"), "caller").agg(F.min(F.coalesce("far", F.lit(0)) + 1).alias("w"))
+    hops = scratch.cut(hops)
+    frontier = scratch.cut(start.select("seed", F.col("seed").alias("node"), F.lit(0).alias("distance")))
+    seen, turn = frontier, 0
+    while True:
+        step = frontier.join(hops, "node").groupBy("seed", F.col("caller").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
+        known = seen.groupBy("seed", "node").agg(F.min("distance").alias("known"))
+        frontier = scratch.cut(step.join(known, ["seed", "node"], "left").where("known is null or distance < known").select("seed", "node", "distance"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    hit = seen.join(tests.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    far = F.min(F.when(F.col("distance") > 0, F.col("distance")))
-    return hit.groupBy(F.col("node").alias("test")).agg(F.coalesce(far, F.lit(0)).alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds"))
+        seen, turn = seen.unionByName(frontier), turn + 1
+        if turn % 8 == 0:
+            seen = scratch.cut(seen.groupBy("seed", "node").agg(F.min("distance").alias("distance")))
+    best = scratch.cut(seen.groupBy("seed", "node").agg(F.min("distance").alias("distance")))
+    wanted = tests.select(F.col("id").alias("test")).distinct()
+    direct = best.join(wanted, F.col("node") == F.col("test")).select("test", "seed", "distance")
+    far = best.join(way.join(wanted, F.col("x") == F.col("test")), F.col("node") == F.col("head")).select("test", "seed", (F.col("distance") + F.col("far")).alias("distance"))
+    return direct.unionByName(far).groupBy("test").agg(
+        F.coalesce(F.min(F.when(F.col("distance") > 0, F.col("distance"))), F.lit(0)).alias("distance"), F.array_sort(F.collect_set("seed")).alias("seeds")
+    )

@@ -338,7 +338,7 @@ def compare_removed(spark, d):
 
 @query(V_MATCH + " SELECT cb AS baseline, cn AS current FROM g WHERE cb > 0 AND cn > 0 AND (cb > 1 OR cn > 1)")
 def compare_ambiguous(spark, d):
-    return comparisons(spark, d).where("status = 'ambiguous'").select(F.size("baseline").cast("long").alias("baseline"), F.size("current").cast("long").alias("current"))
+    return comparisons(spark, d).where("status = 'ambiguous'").select(F.col("baseline_rows").alias("baseline"), F.col("current_rows").alias("current"))
 
 
 @query(V_MATCH + f", x AS ({DELTA}) SELECT baseline_id, current_id, complexity, coverage_percent, risk, comparable FROM x")

@@ -382,3 +382,37 @@ def test_windows(spark, tmp_path):
     q.awaitTermination(120)
     got = {(r["event_type"], r["window"]["start"].minute): (r["n"], r["value"]) for r in spark.table("windows").collect()}
     assert got.get(("a", 0)) == (2, 3.0) and got.get(("b", 5)) == (1, 4.0)
+
+
+def test_peeled_cycles_take_linear_time():
+    import time
+
+    n = 20_000
+    pairs = [(f"{i:06d}", f"{i + 1:06d}") for i in range(n)] + [(f"{i + 1:06d}", f"{i:06d}") for i in range(n)]
+    began = time.time()
+    assert sorted(graph.peeled_cycles(pairs)) == sorted(pairs) and time.time() - began < 10
+
+
+def test_affected_tests_over_long_ways(spark):
+    e = spark.createDataFrame([(f"c{i + 1}", f"c{i}") for i in range(1500)] + [("c700", "c5"), ("x", "y"), ("y", "x"), ("w", "x"), ("c9", "c9")], "from_id string, to_id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = {r["test"]: (r["distance"], r["seeds"]) for r in graph.affected_tests(e, ids("c0", "c3", None), ids("c1500", "c3", "x", "c700", "c9")).collect()}
+    assert got == {"c1500": (803, ["c0", "c3"]), "c3": (3, ["c0", "c3"]), "c700": (3, ["c0", "c3"]), "c9": (6, ["c0", "c3"])}
+
+
+def test_path_candidates_with_many_equal_names(spark):
+    files_ = spark.range(10_000).selectExpr("'src/d' || id || '/index.ts' as file")
+    identities = spark.range(10_000).selectExpr("'D' || id || '/index.ts' as identity")
+    got = coverage.path_candidates(files_, identities)
+    assert got.count() == 10_000 and got.where("rank = 1").count() == 10_000
+
+
+def test_compare_with_a_hot_declaration(spark):
+    row = "'go' as language, 'function' as kind, 'main' as name, 'main()' as signature, 1 as complexity, cast(null as double) as coverage_percent, 2.0D as risk, false as above_threshold, 'x' as content_sha256, '' as coverage_format, 'absent' as coverage_state"
+    split = lambda sql: [x.strip() for x in sql.split(", ")]
+    many = lambda n, p: spark.range(n).selectExpr(f"'{p}' || id as id", f"'{p}' || id as file", *split(row))
+    b, c = many(100_000, "b"), many(100_001, "c")
+    r = compare.compared(b, c).collect()
+    assert [(x["status"], x["baseline_rows"], x["current_rows"], x["baseline"]) for x in r] == [("ambiguous", 100_000, 100_001, [])]
+    assert compare.ambiguous_rows(b, c).count() == 200_001
+    assert compare.compared(b.limit(0), c.limit(0)).count() == 0
