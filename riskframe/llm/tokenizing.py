@@ -6,6 +6,7 @@ import base64
 import os
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +17,11 @@ TOKENIZERS = os.environ.get("RISKFRAME_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Texts are encoded in pieces of about this many characters, cut before white space, where no token begins earlier;
-#: only a run of this length without white space is cut inside. The pieces cover the whole text.
-LONGEST_RUN = 20_000
+#: Texts beyond this many characters are encoded piece by piece, cut where the pattern above ends a piece, hence with
+#: the same tokens: merging never crosses such an end.
+PIECE = 20_000
 
+_pieces = regex.compile(PATTERN)
 _made: dict[int, object] = {}
 
 
@@ -38,17 +40,20 @@ def count(enc, text: str | None) -> int:
     """Tokens of a text; 0 for null and empty texts."""
     if not text:
         return 0
-    if len(text) <= LONGEST_RUN:
+    if len(text) <= PIECE:
         return len(enc.encode_ordinary(text))
     n, at = 0, 0
-    while at < len(text):  # cut before white space, where tokens never join
-        end = min(at + LONGEST_RUN, len(text))
-        while end < len(text) and end > at + 1 and not (text[end].isspace() and not text[end - 1].isspace()):
-            end -= 1
-        end = end if end > at + 1 else min(at + LONGEST_RUN, len(text))
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    for m in _pieces.finditer(text):
+        if m.end() - at >= PIECE and not text[m.end() - 1].isspace():  # white space may look at what follows
+            n += len(enc.encode_ordinary(text[at : m.end()]))
+            at = m.end()
+    return n + (len(enc.encode_ordinary(text[at:])) if at < len(text) else 0)
+
+
+def shared_vocabulary(spark, tokenizer: str | None = None):
+    """The bytes of a vocabulary file in tiktoken's format (under 1 MB), read by the driver and shared with the workers."""
+    with open(tokenizer or f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def sized(documents: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
@@ -57,8 +62,7 @@ def sized(documents: DataFrame, keep: list[str], tokenizer: str | None = None) -
     tokenizer is the path of a vocabulary in tiktoken's format. The driver reads it and shares its bytes (under
     1 MB), so that workers need no file.
     """
-    with open(tokenizer or f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "rb") as f:
-        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+    shared = shared_vocabulary(documents.sparkSession, tokenizer)
 
     def run(batches):
         enc = encoder(shared.value)

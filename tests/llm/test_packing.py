@@ -95,3 +95,20 @@ def test_tokens_of_long_texts():
     text = "The score of alpha-7 rose, and it's   fine.\n\n" * 3000
     assert count(enc, text) == len(enc.encode_ordinary(text)) and count(enc, None) == 0
     assert count(enc, "é" * 100_000) > 0
+
+
+def test_long_texts_have_the_size_of_the_whole():
+    import os
+
+    from riskframe.llm import tokenizing as T
+
+    path = f"{T.TOKENIZERS}/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        return
+    with open(path, "rb") as f:
+        enc = T.encoder(f.read())
+    rng = random.Random(2)
+    blank_free = "".join(rng.choice("abcdefgh") for _ in range(25_000))
+    mixed = "".join(rng.choice(["word", " ", "  ", "\n\n", "'s", "12", "?!", "é"]) for _ in range(40_000))
+    for text in (blank_free, mixed, " " * 45_000, "x " * 30_000, blank_free + "   \n" + mixed):
+        assert T.count(enc, text) == len(enc.encode_ordinary(text))
