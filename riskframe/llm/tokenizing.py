@@ -17,10 +17,6 @@ TOKENIZERS = os.environ.get("RISKFRAME_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Texts beyond this many characters are encoded piece by piece, cut where the pattern above ends a piece, hence with
-#: the same tokens: merging never crosses such an end.
-PIECE = 20_000
-
 _pieces = regex.compile(PATTERN)
 _made: dict[int, object] = {}
 
@@ -33,21 +29,27 @@ def encoder(vocabulary: bytes):
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         _made[key] = tiktoken.Encoding("riskframe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _made[key].sizes = _Sizes(_made[key])
     return _made[key]
 
 
+class _Sizes(dict):
+    """Tokens of each piece that the pattern makes; merging never crosses its ends. Emptied when it has grown to its size."""
+
+    def __init__(self, enc):
+        super().__init__()
+        self.enc = enc
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        self[piece] = out = len(self.enc.encode_ordinary(piece))
+        return out
+
+
 def count(enc, text: str | None) -> int:
-    """Tokens of a text; 0 for null and empty texts."""
-    if not text:
-        return 0
-    if len(text) <= PIECE:
-        return len(enc.encode_ordinary(text))
-    n, at = 0, 0
-    for m in _pieces.finditer(text):
-        if m.end() - at >= PIECE and not text[m.end() - 1].isspace():  # white space may look at what follows
-            n += len(enc.encode_ordinary(text[at : m.end()]))
-            at = m.end()
-    return n + (len(enc.encode_ordinary(text[at:])) if at < len(text) else 0)
+    """Tokens of a text, piece by piece; 0 for null and empty texts."""
+    return sum(map(enc.sizes.__getitem__, _pieces.findall(text))) if text else 0
 
 
 def shared_vocabulary(spark, tokenizer: str | None = None):
