@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import above_threshold, risk_score
-from riskframe.operators import build, compare, coverage, facts, graph, intervals, mutation, review, scope
+from riskframe.operators import build, calls, compare, coverage, facts, graph, intervals, mutation, review, scope
 from riskframe.plans import pages
 from riskframe.runtime import Scratch
 from riskframe.sources.files import content_sha256
@@ -33,6 +33,42 @@ class RiskSession:
         """Callables of source files with ids."""
         return facts.with_ids(facts.facts(files, "callables"))
 
+    def parse(self, files: DataFrame, allow_errors: bool = False) -> DataFrame:
+        """All facts of source files from one parse; a syntax error fails the analysis, that of the first path."""
+        parsed = self.scratch.cut(facts.parsed(files))
+        bad = None if allow_errors else facts.syntax_gate(parsed).first()
+        if bad is not None:
+            raise ValueError(f"{bad['path']}:{bad['line']}:{bad['column']}: {bad['message']} ({bad['code']})")
+        return parsed
+
+    def parsed_callables(self, parsed: DataFrame) -> DataFrame:
+        return facts.with_ids(facts.of_kind(parsed, "callables"))
+
+    def coverage_matches(self, files: DataFrame, spans: DataFrame, aliases: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+        """(matches of files and report paths, diagnostics); strict fails on the first unmatched or ambiguous file."""
+        matches = self.scratch.cut(self.assign_coverage(files, spans.select("identity").distinct(), aliases))
+        found = coverage.match_diagnostics(matches)
+        first = coverage.first_failure(found).first() if strict else None
+        if first is not None and first["path"] is not None:
+            raise ValueError(f"{first['path']}: {first['code']}")
+        return matches, found
+
+    def call_graph(self, parsed: DataFrame, callables: DataFrame, go_module: str = "", changed: DataFrame | None = None) -> str:
+        """Functions, edges, unresolved calls and, for changed functions, affected tests of Go sources."""
+        known = self.scratch.cut(calls.go_call_facts(parsed, callables, go_module))
+        edges = self.scratch.cut(pages.bounded(calls.call_edges(known), 250_000, "call edges"))
+        go = callables.where("language = 'go'")
+        declared = go.select(F.col("file").alias("path"), F.col("start_line").alias("line"), F.col("start_column").alias("column"), "name")
+        flags = go if "changed" in go.columns else go.withColumn("changed", F.lit(False))
+        inventory = calls.functions(declared, flags.select("id", "file", "start_line", "start_column", "changed", "end_line"))
+        inventory = self.scratch.cut(inventory)
+        tests = graph.affected_tests(edges, inventory.where("changed").select("id").limit(scope.SEEDS), inventory.where("test").select("id"))
+        tests = tests.where("distance > 0").join(inventory.select(F.col("id").alias("test"), "name", F.col("path").alias("file")), "test")
+        tests = self.scratch.cut(tests)
+        first, numbers = calls.unresolved_calls(known)
+        summary = graph.one_row(calls.call_summary(inventory, edges, tests), numbers.select(F.col("total").alias("unresolved_calls"), F.col("truncated").alias("truncated_unresolved")))
+        return self.keep("calls", functions=inventory, edges=edges, unresolved=first, tests=tests, summary=summary)
+
     def score(self, callables: DataFrame, spans: DataFrame | None = None, matches: DataFrame | None = None, ranges: DataFrame | None = None, changed_only: bool = False) -> DataFrame:
         """Adds coverage_percent, risk, above_threshold and changed. Ownership sees all callables, whatever is changed."""
         c = callables
@@ -82,18 +118,27 @@ class RiskSession:
         loops = looped.select("from", "to", F.lit("").alias("system"), F.lit("import cycle").alias("reason"), F.lit(None).cast("int").alias("rule"), F.lit("cycle").alias("kind"))
         return self.keep("architecture", violations=broken.unionByName(loops), cycles=cycles)
 
-    def code_graph(self, files: DataFrame, callables: DataFrame, go_module: str = "") -> str:
-        """The code graph of source files and their scored callables."""
-        nodes, edges, references = build.build_graph(files, callables, go_module)
+    def code_graph(self, files: DataFrame, callables: DataFrame, go_module: str = "", parsed: DataFrame | None = None) -> str:
+        """The code graph of source files and their scored callables; more than its bounds allow is an error, never a cut."""
+        nodes, edges, references = build.build_graph(files, callables, go_module, parsed)
         nodes, edges = self.scratch.cut(nodes), self.scratch.cut(edges)
-        return self.keep("graph", nodes=nodes, edges=edges, references=references, summary=graph.graph_summary(nodes, edges))
-
-    def compared_rows(self, files: DataFrame, callables: DataFrame, coverage_format: str = "") -> DataFrame:
+        for df, most, what in ((nodes, 100_000, "nodes"), (edges, 250_000, "edges"), (references, 250_000, "references")):
+            pages.bounded(df, most, what)
+        deep = graph.deep_nodes(edges).first()
+        if deep is not None:
+            raise ValueError(f"{deep['node_id']} lies on or below a cycle or deeper than 64")
+        rollup = graph.module_rollup(
+            edges.where("type = 'member-of'").select(F.col("to_id").alias("module_id"), F.col("from_id").alias("file")),
+            nodes.where("kind in ('type', 'callable')").select(graph.node_id("file", F.col("path")).alias("file"), "kind", "metrics.*"),
+        )
+        return self.keep("graph", nodes=nodes, edges=edges, references=references, modules=rollup, summary=graph.graph_summary(nodes, edges))
+
+    def compared_rows(self, files: DataFrame, callables: DataFrame, coverage_format: str = "", matches: DataFrame | None = None) -> DataFrame:
         """Scored callables with the digest of their text and their coverage state, as ``compare`` wants them."""
         text = files.select(F.col("path").alias("file"), "content")
-        state = F.when(F.lit(coverage_format == ""), "absent").when(F.col("coverage_percent").isNull(), "uninstrumented").otherwise("measured")
         rows = callables.join(text, "file").withColumn("content_sha256", content_sha256(F.col("content"), F.col("start_byte"), F.col("end_byte"))).drop("content")
-        return rows.withColumn("coverage_format", F.lit(coverage_format)).withColumn("coverage_state", state)
+        none = rows.select("file", F.lit("exact").alias("kind")).limit(0)
+        return coverage.coverage_state(rows, none if matches is None else matches, coverage_format != "").withColumn("coverage_format", F.lit(coverage_format))
 
     def graph(self, nodes: DataFrame, edges: DataFrame) -> str:
         return self.keep("graph", nodes=nodes, edges=edges, summary=graph.graph_summary(nodes, edges))
@@ -102,6 +147,11 @@ class RiskSession:
         parts = self.parts(snapshot, "graph")
         return graph.neighborhood(parts["nodes"], parts["edges"], seeds, **options)
 
+    def neighborhood_references(self, snapshot: str, edges: DataFrame) -> DataFrame:
+        """The references that back edges of a neighborhood."""
+        parts = self.parts(snapshot, "graph")
+        return graph.supporting_references(parts["references"], parts["edges"].join(edges.select("id"), "id", "left_semi"))
+
     def mutation(self, mutants: DataFrame, minimum: float = 80.0) -> str:
         return self.keep("mutation", mutants=mutants, summary=mutation.mutation_score(mutation.mutation_summary(mutants), minimum))
 

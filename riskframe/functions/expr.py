@@ -51,16 +51,20 @@ def nullable_delta(now: Column, before: Column) -> Column:
 
 
 def normal_path(p: Column) -> Column:
-    """Forward slashes, no '.' parts, '..' folded where possible, no './' in front."""
-    parts = F.filter(F.split(F.regexp_replace(F.trim(p), r"\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    """Forward slashes, no '.' parts, '..' folded where possible and gone at a root, no './' in front; '.' if nothing is left."""
+    plain = F.regexp_replace(F.trim(p), r"\\", "/")
+    rooted = plain.startswith("/")
+    parts = F.filter(F.split(plain, "/"), lambda x: (x != "") & (x != "."))
     empty = F.array().cast("array<string>")
     folded = F.aggregate(
         parts,
         empty,
-        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when((x == "..") & rooted, acc)
+        .otherwise(F.concat(acc, F.array(x))),
     )
-    root = F.when(F.regexp_replace(F.trim(p), r"\\", "/").startswith("/"), "/").otherwise("")
-    return F.concat(root, F.array_join(folded, "/"))
+    text = F.array_join(folded, "/")
+    return F.when(rooted, F.concat(F.lit("/"), text)).when(text == "", ".").otherwise(text)
 
 
 def is_absolute(p: Column) -> Column:
@@ -90,10 +94,7 @@ def glob_regex(glob: str) -> str:
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
-        if glob.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-        elif glob.startswith("**", i):
+        if glob.startswith("**", i):
             out.append(".*")
             i += 2
         else:

@@ -32,10 +32,11 @@ def module_table(parsed: DataFrame, go_module: str = "") -> DataFrame:
     return rows.withColumn("module_id", graph.node_id("module", F.col("language"), F.col("system"), F.col("name"), F.col("variant")))
 
 
-def build_graph(files: DataFrame, callables: DataFrame, go_module: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, references) of source files (path, content) and their scored callables (with ids and index)."""
+def build_graph(files: DataFrame, callables: DataFrame, go_module: str = "", parsed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, references) of source files (path, content) and their scored callables (with ids and index); parsed holds
+    the files' facts where they are parsed already."""
     scratch = Scratch(files.sparkSession, "build")
-    parsed = scratch.cut(facts.parsed(files).drop("callables"))
+    parsed = scratch.cut(facts.parsed(files).drop("callables")) if parsed is None else parsed
     modules = scratch.cut(module_table(parsed, go_module))
     t = facts.of_kind(parsed, "types")
     t = facts.occurrence_ids(t, ["file", "kind", "name"], ["start_byte", "end_byte", "index"])

@@ -10,12 +10,13 @@ from riskframe.functions.expr import fingerprint
 from riskframe.runtime import map_arrow
 from riskframe.syntax import LANGUAGES, extension, parse
 
-_INTS = ("start_line", "start_column", "end_line", "end_column", "depth", "parent_index", "complexity")
+_INTS = ("start_line", "start_column", "end_line", "end_column", "depth", "parent_index", "complexity", "owner")
 _LONGS = ("start_byte", "end_byte")
 _COLUMNS = {
     "callables": ("kind", "name", "signature", "parent_kind", *_INTS, *_LONGS),
     "types": ("kind", "name", "parent_kind", "start_line", "start_column", "end_line", "end_column", "parent_index", *_LONGS),
     "modules": ("system", "name"),
+    "calls": ("target", "owner", "start_line", "start_column"),
     "references": ("kind", "specifier", "binding", "scope", "start_line", "start_column", "end_line", "end_column"),
 }
 
@@ -49,28 +50,42 @@ def facts(files: DataFrame, what: str) -> DataFrame:
     return map_arrow(files.select("path", "content"), run, f"file string, language string, index int, {_ddl(what)}")
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """All facts of source files from one parse: file, language and an array of structs for each kind of fact."""
+def parsed(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """All facts of source files from one parse: file, language, the kept columns, an array of structs for each kind of fact,
+    and error, the first syntax error (code, line, column, message; null if there is none)."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
     name = lambda c: "int" if c in _INTS else "long" if c in _LONGS else "string"
     types = {what: pa.list_(pa.struct([(c, kinds[name(c)]) for c in cols])) for what, cols in _COLUMNS.items()}
+    wrong = pa.struct([("code", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("message", pa.string())])
 
     def run(batches):
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("file", "language", *types)}
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+            rows, errors = [], []
+            for i, (path, content) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
                 ext = extension(path)
                 if ext is None or not content.is_valid:
                     continue
                 found = parse(content.as_py(), ext)
+                rows.append(i)
                 out["file"].append(path)
                 out["language"].append(LANGUAGES[ext])
+                errors.append(dict(zip(("code", "line", "column", "message"), found.errors[0])) if found.errors else None)
                 for what, cols in _COLUMNS.items():
                     out[what].append([{c: f.get(c) for c in cols} for f in getattr(found, what)])
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.string())) for k, v in out.items()], names=list(out))
+            kept = [b.column(2 + j).take(pa.array(rows, pa.int64())) for j in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, types.get(k, pa.string())) for k, v in out.items()), pa.array(errors, wrong), *kept], names=[*out, "error", *keep])
 
     ddl = ", ".join(f"{what} array<struct<{', '.join(f'{c}:{name(c).replace('long', 'bigint')}' for c in cols)}>>" for what, cols in _COLUMNS.items())
-    return map_arrow(files.select("path", "content"), run, f"file string, language string, {ddl}")
+    src = files.select("path", "content", *keep)
+    own = "".join(f", `{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
+    return map_arrow(src, run, f"file string, language string, {ddl}, error struct<code:string,line:int,column:int,message:string>{own}")
+
+
+def newest(parsed_: DataFrame, key: str, version: list[str]) -> DataFrame:
+    """The last version of each parsed file. Contents are parsed where they lie; only facts are shuffled."""
+    rest = [c for c in parsed_.columns if c != key and c not in version]
+    return parsed_.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*version)).alias("p")).select(key, "p.*")
 
 
 def of_kind(parsed_: DataFrame, what: str) -> DataFrame:
@@ -100,6 +115,11 @@ def first_syntax_error(files: DataFrame) -> DataFrame:
     return syntax_errors(files).agg(F.min(F.struct("path", "code", "line", "column", "message")).alias("e")).where("e is not null").select("e.*")
 
 
+def syntax_gate(parsed_: DataFrame) -> DataFrame:
+    """The same of files that are parsed already."""
+    return parsed_.where("error is not null").agg(F.min(F.struct(F.col("file").alias("path"), "error.code", "error.line", "error.column", "error.message")).alias("e")).where("e is not null").select("e.*")
+
+
 def with_ids(callables: DataFrame) -> DataFrame:
     """Adds stable_owner, occurrence and id: fingerprints of language, file, kind, owner, declaration and occurrence.
 

@@ -115,7 +115,7 @@ def module_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
         F.sum(F.when(call, F.col("complexity"))).alias("sum_complexity"),
         F.max(F.when(call, F.col("complexity"))).alias("max_complexity"),
         F.count_if(call & F.col("coverage_percent").isNotNull()).alias("known"),
-        F.sum(F.when(call, F.col("coverage_percent"))).alias("sum_coverage"),
+        F.sum(F.when(call, F.col("coverage_percent").cast("decimal(20,6)"))).alias("sum_coverage"),  # exact, in any order of rows
         F.max(F.when(call, F.col("risk"))).alias("max_risk"),
         F.count_if(call & F.coalesce("above_threshold", F.lit(False))).alias("above"),
     )
@@ -129,7 +129,7 @@ def module_rollup(members: DataFrame, items: DataFrame) -> DataFrame:
             zero(F.max("max_complexity")).alias("maximum_complexity"),
             zero(F.sum("known")).alias("known_coverage"),
             (zero(F.sum("callables")) - zero(F.sum("known"))).alias("unknown_coverage"),
-            round2(F.sum("sum_coverage") / F.when(F.sum("known") > 0, F.sum("known"))).alias("average_coverage"),
+            round2(F.sum("sum_coverage").cast("double") / F.when(F.sum("known") > 0, F.sum("known"))).alias("average_coverage"),
             F.coalesce(F.max("max_risk"), F.lit(0.0)).alias("maximum_risk"),
             zero(F.sum("above")).alias("above_threshold"),
         )
@@ -153,7 +153,7 @@ def with_candidate_names(references: DataFrame) -> DataFrame:
     folder = F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
     is_ts, is_rust, is_cs, is_go = kind.startswith("typescript-"), kind.startswith("rust-"), kind.startswith("csharp-"), kind == "go-import"
     parts = F.split(specifier, "::")
-    df = references.withColumn("_joined", F.when(is_ts, F.regexp_replace(normal_path(F.concat(folder, F.lit("/"), specifier)), "^/", "")))
+    df = references.withColumn("_joined", F.when(is_ts, normal_path(F.when(folder == "", specifier).otherwise(F.concat(folder, F.lit("/"), specifier)))))
     df = df.withColumn("_here", F.when(is_rust, F.split(rust_module_path(path), "::"))).withColumn("_supers", F.size(F.split(F.regexp_extract(specifier, r"^((?:super::)*(?:super$)?)", 1), "super")) - 1)
 
     joined, ext = F.col("_joined"), F.lower(F.regexp_extract("_joined", r"(\.[^./]*)$", 1))
@@ -297,10 +297,10 @@ def _least_labels(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
         return new.join(heads, (F.col("on") == F.col("on2")) & (F.col("l.node") == F.col("head"))).withColumn("l", F.least("l", "l3")).select("on", "node", "l", "was")
 
     while True:
-        nxt = scratch.cut(step(step(at.select("on", "node", "l", F.col("l").alias("was")))))
+        nxt, moved = scratch.counted(step(step(at.select("on", "node", "l", F.col("l").alias("was")))), F.col("l") != F.col("was"))
         scratch.drop(at)
         at = nxt
-        if at.where("l <> was").isEmpty():
+        if not moved:
             break
     out = scratch.cut(at.groupBy("node").agg(F.max(F.when(F.col("on"), F.col("l.node"))).alias("f"), F.max(F.when(~F.col("on"), F.col("l.node"))).alias("t")))
     scratch.drop(ways), scratch.drop(at)
@@ -323,8 +323,8 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     while True:
         for _ in range(2):
             left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left = scratch.cut(left)
-        if left.isEmpty():
+        left, n = scratch.counted(left, F.lit(True))
+        if not n:
             break
         both = _least_labels(scratch, left, turn)
         done = scratch.cut(both.where("f = t").select("node", F.col("f").alias("c")))
@@ -417,6 +417,7 @@ def forbidden(edges: DataFrame, names: DataFrame, rules: list[dict]) -> DataFram
     named = edges.select("from_id", "to_id").distinct().join(a, "from_id").join(b, "to_id")
     hits = F.array_compact(
         F.array(
+            F.lit(None).cast("struct<rule:int,reason:string>"),
             *[
                 F.when(
                     F.col("from").rlike(glob_regex(r.get("from", ""))) & F.col("to").rlike(glob_regex(r.get("to", ""))) & (F.lit(not r.get("system")) | (F.col("system") == r.get("system", ""))),
@@ -447,8 +448,8 @@ def affected_tests(edges: DataFrame, seeds: DataFrame, tests: DataFrame) -> Data
     open_n = -1
     while True:
         on = way.select(F.col("x").alias("h"), F.col("head").alias("head2"), F.col("far").alias("far2"))
-        nxt = scratch.cut(way.join(on, F.col("head") == F.col("h"), "left").select("x", F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("h").isNotNull().alias("open")))
-        n = nxt.where("open").count()
+        far = way.join(on, F.col("head") == F.col("h"), "left").select("x", F.coalesce("head2", "head").alias("head"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("h").isNotNull().alias("open"))
+        nxt, n = scratch.counted(far, F.col("open"))
         scratch.drop(way)
         way = nxt.select("x", "head", "far")
         way._scratch_path = nxt._scratch_path
@@ -466,8 +467,8 @@ def affected_tests(edges: DataFrame, seeds: DataFrame, tests: DataFrame) -> Data
     while True:
         step = frontier.join(hops, "node").groupBy("seed", F.col("caller").alias("node")).agg(F.min(F.col("distance") + F.col("w")).alias("distance"))
         known = seen.groupBy("seed", "node").agg(F.min("distance").alias("known"))
-        frontier = scratch.cut(step.join(known, ["seed", "node"], "left").where("known is null or distance < known").select("seed", "node", "distance"))
-        if frontier.isEmpty():
+        frontier, n = scratch.counted(step.join(known, ["seed", "node"], "left").where("known is null or distance < known").select("seed", "node", "distance"), F.lit(True))
+        if not n:
             break
         seen, turn = seen.unionByName(frontier), turn + 1
         if turn % 8 == 0:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from riskframe.functions import expr as X
 from riskframe.operators import build, calls, compare, coverage, discovery, facts, graph, intervals, mutation, review, scope
 from riskframe.plans import pages
-from riskframe.runtime import table
+from riskframe.runtime import Scratch, table
+from riskframe.sources import files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,7 +46,7 @@ RANGE = ["file", "CAST(1 + o_orderkey % 970 AS INT) AS start_line", "CAST(1 + o_
 MUTANT = ["CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'killed' WHEN 'AO' THEN 'timedOut' WHEN 'NF' THEN 'survived' WHEN 'NO' THEN 'noCoverage' WHEN 'RF' THEN 'compileError' ELSE 'ignored' END AS status"]
 V_CALLABLES = f"v_callables AS (SELECT {', '.join(CALLABLES)} FROM part)"
 V_SPANS = f"v_spans AS (SELECT {', '.join(SPAN)} FROM lineitem JOIN v_callables ON l_partkey = id)"
-V_RANGES = f"v_ranges AS (SELECT {', '.join(RANGE)} FROM orders JOIN v_callables ON o_orderkey % 2000 = id WHERE o_orderkey % 10 = 3)"
+V_RANGES = f"v_ranges AS (SELECT {', '.join(RANGE)} FROM orders JOIN v_callables ON 1 + o_orderkey % (SELECT count(*) FROM part) = id)"
 V_MERGED = """m0 AS (SELECT DISTINCT file, start_line AS s, end_line AS e FROM v_ranges),
 m1 AS (SELECT *, max(e) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM m0),
 m2 AS (SELECT *, sum(CASE WHEN r IS NULL OR s > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM m1),
@@ -87,7 +88,7 @@ def v_spans(spark: SparkSession, d: str) -> DataFrame:
 
 def v_ranges(spark: SparkSession, d: str) -> DataFrame:
     c = v_callables(spark, d).select("id", "file")
-    return table(spark, d, "orders").where("o_orderkey % 10 = 3").join(c, F.expr("o_orderkey % 2000 = id")).selectExpr(*RANGE)
+    return table(spark, d, "orders").join(c, F.expr(f"1 + o_orderkey % {table(spark, d, 'part').count()} = id")).selectExpr(*RANGE)
 
 
 def v_scored(spark: SparkSession, d: str) -> DataFrame:
@@ -189,9 +190,9 @@ def fingerprint_ids(spark, d):
     return c.select("repository", "id", X.fingerprint(*[F.col(x) for x in ("language", "file", "kind", "stable_owner", "name", "occurrence")]).alias("fp")).distinct()
 
 
-@query("SELECT DISTINCT file_id, path, sha256(content) AS sha256, octet_length(content) AS bytes FROM source_files WHERE content IS NOT NULL")
+@query("SELECT DISTINCT path, sha256(content) AS sha256 FROM source_files WHERE content IS NOT NULL")
 def source_fingerprints(spark, d):
-    return table(spark, d, "source_files").where("content is not null").select("file_id", "path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("bytes")).distinct()
+    return files.fingerprints(table(spark, d, "source_files").where("content is not null"))
 
 
 @query(
@@ -367,20 +368,24 @@ def compare_summary(spark, d):
 
 
 # Code graph.
+MEMBERS = "members AS (SELECT DISTINCT to_id AS module_id, from_id AS file FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) = 'member-of' AND from_id IS NOT NULL AND to_id IS NOT NULL)"
+ITEMS = """places AS (SELECT DISTINCT repository, path, id AS file FROM graph_nodes WHERE kind = 'file' AND path IS NOT NULL),
+items AS (SELECT DISTINCT file, id, kind, metrics.complexity AS complexity, metrics.coverage_percent AS coverage_percent, metrics.risk AS risk, metrics.above_threshold AS above_threshold
+  FROM graph_nodes JOIN places USING (repository, path) WHERE kind IN ('type', 'callable'))"""
+
+
 @query(
-    f"""WITH {LATEST}, c AS (SELECT repository || ':' || file AS f, repository || ':' || language AS module_id, * EXCLUDE (file) FROM latest), mem AS (SELECT DISTINCT module_id, f FROM c)
-SELECT c.module_id, count(DISTINCT c.f) AS files, count(*) AS callables, CAST(sum(complexity) AS BIGINT) AS total_complexity, max(complexity) AS maximum_complexity, count(coverage_percent) AS known_coverage,
- count(*) - count(coverage_percent) AS unknown_coverage, {r2('round(sum(coverage_percent), 4) / count(coverage_percent)')} AS average_coverage, coalesce(max(risk), 0.0) AS maximum_risk, count(*) FILTER (above_threshold) AS above_threshold
-FROM c GROUP BY c.module_id"""
+    f"""WITH {MEMBERS}, {ITEMS}, i AS (SELECT *, kind = 'callable' AS c FROM items), j AS (SELECT m.module_id, m.file AS f, i.* FROM members m LEFT JOIN i ON i.file = m.file)
+SELECT module_id, count(DISTINCT f) AS files, count(*) FILTER (NOT c) AS types, count(*) FILTER (c) AS callables, coalesce(CAST(sum(complexity) FILTER (c) AS BIGINT), 0) AS total_complexity, coalesce(max(complexity) FILTER (c), 0) AS maximum_complexity,
+ count(coverage_percent) FILTER (c) AS known_coverage, count(*) FILTER (c) - count(coverage_percent) FILTER (c) AS unknown_coverage,
+ {r2('CAST(sum(CAST(coverage_percent AS DECIMAL(20,6))) FILTER (c) AS DOUBLE) / nullif(count(coverage_percent) FILTER (c), 0)')} AS average_coverage, coalesce(max(risk) FILTER (c), 0.0) AS maximum_risk, count(*) FILTER (c AND above_threshold) AS above_threshold
+FROM j GROUP BY module_id"""
 )
 def module_rollup(spark, d):
-    c = latest(spark, d).withColumn("module_id", F.concat_ws(":", "repository", "language")).withColumn("file", F.concat_ws(":", "repository", "file"))
-    # A file belongs to the module of its repository and language; files that hold callables of two languages count in both.
-    items = c.select(F.concat_ws("|", "module_id", "file").alias("file"), F.lit("callable").alias("kind"), "complexity", "coverage_percent", "risk", "above_threshold")
-    members = c.select("module_id", F.concat_ws("|", "module_id", "file").alias("file")).distinct()
-    out = graph.module_rollup(members, items).drop("types")
-    sums = c.groupBy("module_id").agg(X.round2(F.round(F.sum("coverage_percent"), 4) / F.count("coverage_percent")).alias("average_coverage"))
-    return out.drop("average_coverage").join(sums, "module_id")
+    n = table(spark, d, "graph_nodes")
+    places = n.where("kind = 'file' and path is not null").select("repository", "path", F.col("id").alias("file")).distinct()
+    items = n.where("kind in ('type', 'callable')").join(places, ["repository", "path"]).select("file", "id", "kind", "metrics.*").distinct()
+    return graph.module_rollup(v_edges(spark, d).where("type = 'member-of'").select(F.col("to_id").alias("module_id"), F.col("from_id").alias("file")), items)
 
 
 def v_edges(spark, d):
@@ -422,36 +427,42 @@ def forest_faults(spark, d):
     return graph.forest_faults(table(spark, d, "graph_nodes"), v_edges(spark, d))
 
 
-IMPORTS = """imp AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM supplier JOIN customer ON (s_suppkey + c_custkey) % 23 = 0 WHERE (s_nationkey * 7 + c_nationkey * 3) % 11 = 0 AND s_nationkey <> c_nationkey)"""
-
-
-def v_imports(spark, d):
-    s = table(spark, d, "supplier").selectExpr("s_nationkey", "s_suppkey % 23 AS r").distinct()
-    c = table(spark, d, "customer").selectExpr("c_nationkey", "(23 - c_custkey % 23) % 23 AS r").distinct()
-    e = s.join(c, "r").where("(s_nationkey * 7 + c_nationkey * 3) % 11 = 0 and s_nationkey <> c_nationkey")
-    return e.select(F.format_string("%02d", "s_nationkey").alias("from_id"), F.format_string("%02d", "c_nationkey").alias("to_id")).distinct()
+def all_imports(spark, d):
+    return v_edges(spark, d).where("type = 'imports'").select("from_id", "to_id")
 
 
 @query(
-    f"""WITH RECURSIVE {IMPORTS}, e AS (SELECT printf('%02d', a) AS a, printf('%02d', b) AS b FROM imp), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
-m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
+    """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
 SELECT node, min(other) AS component FROM m GROUP BY node"""
 )
-def scc_members(spark, d):
-    return graph.cyclic_components(v_imports(spark, d))
+def import_cycles(spark, d):
+    return graph.cyclic_components(all_imports(spark, d))
 
 
-def all_imports(spark, d):
-    return v_edges(spark, d).where("type = 'imports'").select("from_id", "to_id")
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) IN ('imports', 'member-of') AND from_id IS NOT NULL AND to_id IS NOT NULL),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
+c AS (SELECT node, min(other) AS component FROM m GROUP BY node)
+SELECT component, count(*) AS members FROM c GROUP BY component"""
+)
+def scc_members(spark, d):
+    """The size of each cycle among files and modules."""
+    e = v_edges(spark, d).where("type in ('imports', 'member-of')")
+    return graph.cyclic_components(e).groupBy("component").agg(F.count("*").alias("members"))
 
 
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL),
-r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a)
-SELECT node, min(other) AS component FROM m GROUP BY node"""
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
+c AS (SELECT node, min(other) AS component FROM m GROUP BY node)
+SELECT component, list_aggregate(list_sort(list(node)), 'string_agg', ',') AS modules, list_aggregate(list_sort(list(node)), 'string_agg', ',') AS on_witness FROM c GROUP BY component"""
 )
-def import_cycles(spark, d):
-    return graph.cyclic_components(all_imports(spark, d))
+def cycle_cover(spark, d):
+    """The modules of each cycle, and those that its witness edges visit, which must be all of them."""
+    w = cycle_witnesses(spark, d)
+    ends = w.select("component", F.array_join("modules", ",").alias("modules"), F.explode(F.array("from_id", "to_id")).alias("node"))
+    return ends.groupBy("component", "modules").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("on_witness"))
 
 
 @query()
@@ -465,7 +476,7 @@ def cycle_witnesses(spark, d):
 n AS (SELECT id, max(module."system" || '/' || module.name) AS name, max(module."system") AS s FROM graph_nodes WHERE kind = 'module' AND module IS NOT NULL GROUP BY id),
 x AS (SELECT f.name AS "from", t.name AS "to", f.s AS "system" FROM e JOIN n f ON f.id = a JOIN n t ON t.id = b)
 SELECT "from", "to", "system", 'go stays inside' AS reason, 0 AS rule FROM x WHERE "from" LIKE 'go-package/%' AND "system" = 'go-package'
-UNION ALL SELECT "from", "to", "system", 'no imports of src', 1 FROM x WHERE regexp_matches("to", '^(?:.*/)?src/.*$')"""
+UNION ALL SELECT "from", "to", "system", 'no imports of src', 1 FROM x WHERE regexp_matches("to", '^.*/src/.*$')"""
 )
 def forbid_violations(spark, d):
     e = v_edges(spark, d).where("type = 'imports'")
@@ -488,20 +499,17 @@ def bfs_neighborhood(spark, d):
     return kept
 
 
-REACH = """reach AS (SELECT DISTINCT l_partkey % 500 AS a, (l_partkey * 7 + l_suppkey) % 500 AS b FROM lineitem WHERE (l_orderkey + l_linenumber) % 97 = 0)"""
-
-
+# Changed are the callables above the threshold; the files that lead to them over any edge stand for tests.
 @query(
-    f"""WITH RECURSIVE {REACH}, seeds AS (SELECT DISTINCT b AS s FROM reach WHERE b % 50 = 3),
+    """WITH RECURSIVE reach AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE type IS NOT NULL AND from_id IS NOT NULL AND to_id IS NOT NULL),
+seeds AS (SELECT DISTINCT id AS s FROM graph_nodes WHERE metrics.above_threshold AND id IS NOT NULL),
 r(s, n, d) USING KEY (s, n) AS (SELECT s, s, 0 FROM seeds UNION
  (SELECT r.s, reach.a, min(r.d) + 1 FROM r JOIN reach ON reach.b = r.n LEFT JOIN recurring.r AS k ON k.s = r.s AND k.n = reach.a WHERE k.n IS NULL GROUP BY r.s, reach.a))
-SELECT CAST(n AS VARCHAR) AS test, coalesce(min(d) FILTER (d > 0), 0) AS distance, string_agg(CAST(s AS VARCHAR), ',' ORDER BY CAST(s AS VARCHAR)) AS seeds FROM r WHERE n % 3 = 0 GROUP BY n"""
+SELECT n AS test, coalesce(min(d) FILTER (d > 0), 0) AS distance, string_agg(s, ',' ORDER BY s) AS seeds FROM r WHERE n IN (SELECT id FROM graph_nodes WHERE kind = 'file') GROUP BY n"""
 )
 def affected_tests(spark, d):
-    e = table(spark, d, "lineitem").where("(l_orderkey + l_linenumber) % 97 = 0").selectExpr("CAST(l_partkey % 500 AS STRING) AS from_id", "CAST((l_partkey * 7 + l_suppkey) % 500 AS STRING) AS to_id").distinct()
-    seeds = e.where("CAST(to_id AS INT) % 50 = 3").select(F.col("to_id").alias("id")).distinct()
-    tests = e.select(F.explode(F.array("from_id", "to_id")).alias("id")).where("CAST(id AS INT) % 3 = 0").distinct()
-    return graph.affected_tests(e, seeds, tests).withColumn("seeds", F.array_join("seeds", ","))
+    n = table(spark, d, "graph_nodes").where("id is not null")
+    return graph.affected_tests(v_edges(spark, d), n.where("metrics.above_threshold").select("id"), n.where("kind = 'file'").select("id")).withColumn("seeds", F.array_join("seeds", ","))
 
 
 # Calls.
@@ -525,10 +533,14 @@ def call_edges(spark, d):
     return e.select("id", "from_id", "to_id", "occurrences", sites.alias("call_sites"), "truncated")
 
 
-@query("WITH u AS (SELECT DISTINCT l_partkey % 200 AS caller, CAST(l_orderkey AS INT) AS line FROM lineitem WHERE l_returnflag = 'R') SELECT caller, line FROM u ORDER BY line, caller LIMIT 5000")
+@query(
+    """WITH u AS (SELECT DISTINCT l_partkey % 200 AS caller, CAST(l_orderkey AS INT) AS line FROM lineitem)
+SELECT caller, line, (SELECT count(*) FROM u) AS total, (SELECT count(*) > 5000 FROM u) AS truncated FROM u ORDER BY line, caller LIMIT 5000"""
+)
 def unresolved_distinct(spark, d):
-    f = table(spark, d, "lineitem").where("l_returnflag = 'R'").selectExpr("l_partkey % 200 AS caller", "CAST(NULL AS BIGINT) AS callee", "'src/a.go' AS path", "CAST(l_orderkey AS INT) AS line", "1 AS `column`", "'external' AS reason")
-    return calls.unresolved_calls(f)[0].select("caller", "line")
+    f = table(spark, d, "lineitem").selectExpr("l_partkey % 200 AS caller", "CAST(NULL AS BIGINT) AS callee", "'src/a.go' AS path", "CAST(l_orderkey AS INT) AS line", "1 AS `column`", "'external' AS reason")
+    page, numbers = calls.unresolved_calls(f)
+    return graph.one_row(page.select("caller", "line"), numbers)
 
 
 # Mutation.
@@ -610,36 +622,36 @@ def text_columns(spark, d):
 
 
 # Facts from source text (no SQL: a parser).
-def last_sources(spark, d):
+def last_parsed(spark, d):
     s = table(spark, d, "source_files").where("file_id is not null and content is not null")
-    return s.groupBy("file_id").agg(F.max_by(F.struct("path", "content"), F.struct("fetched_at", "loaded_at")).alias("s")).select("file_id", "s.path", "s.content")
+    return facts.newest(facts.parsed(s, ("file_id", "fetched_at", "loaded_at")), "file_id", ["fetched_at", "loaded_at"])
 
 
 @query()
 def source_callables(spark, d):
-    return facts.with_ids(facts.facts(last_sources(spark, d), "callables")).withColumn("risk", X.risk_score(F.col("complexity"), F.lit(None).cast("double")))
+    return facts.with_ids(facts.of_kind(last_parsed(spark, d), "callables")).withColumn("risk", X.risk_score(F.col("complexity"), F.lit(None).cast("double")))
 
 
 @query()
 def source_types(spark, d):
-    return facts.facts(last_sources(spark, d), "types")
+    return facts.of_kind(last_parsed(spark, d), "types")
 
 
 @query()
 def source_references(spark, d):
-    return facts.facts(last_sources(spark, d), "references")
+    return facts.of_kind(last_parsed(spark, d), "references")
 
 
 @query()
 def source_modules(spark, d):
-    return facts.facts(last_sources(spark, d), "modules").groupBy("language", "system", "name").agg(F.count_distinct("file").alias("files"))
+    return facts.of_kind(last_parsed(spark, d), "modules").groupBy("language", "system", "name").agg(F.count_distinct("file").alias("files"))
 
 
 def source_graph(spark, d):
-    src = last_sources(spark, d)
-    scored = facts.with_ids(facts.facts(src, "callables")).withColumn("coverage_percent", F.lit(None).cast("double"))
+    src = Scratch(spark, "sources").cut(last_parsed(spark, d))
+    scored = facts.with_ids(facts.of_kind(src, "callables")).withColumn("coverage_percent", F.lit(None).cast("double"))
     scored = scored.withColumn("risk", X.risk_score(F.col("complexity"), F.col("coverage_percent"))).withColumn("above_threshold", X.above_threshold(F.col("risk"), 30.0))
-    return build.build_graph(src, scored)
+    return build.build_graph(src.select(F.col("file").alias("path")), scored, parsed=src)
 
 
 @query()
@@ -654,7 +666,7 @@ def source_graph_edges(spark, d):
 
 @query()
 def source_syntax_gate(spark, d):
-    return facts.first_syntax_error(last_sources(spark, d))
+    return facts.syntax_gate(last_parsed(spark, d))
 
 
 @query()
@@ -677,12 +689,12 @@ def enum_faults(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem WHERE l_orderkey % 5 = 0), u AS (SELECT a, count(*) AS n FROM r GROUP BY a)
+    """WITH r AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey AS b FROM lineitem), u AS (SELECT a, count(*) AS n FROM r GROUP BY a)
 SELECT 'r' || a AS id, CAST(n AS BIGINT) AS edges FROM u WHERE n <> 1"""
 )
 def evidence_faults(spark, d):
     """References that several edges claim; here an edge per (reference, supplier) with the reference's own ends."""
-    r = table(spark, d, "lineitem").where("l_orderkey % 5 = 0").selectExpr("'r' || CAST(l_partkey % 300 AS STRING) AS rid", "l_suppkey").distinct()
+    r = table(spark, d, "lineitem").selectExpr("'r' || CAST(l_partkey % 300 AS STRING) AS rid", "l_suppkey").distinct()
     edges = r.select(F.lit("imports").alias("type"), F.lit("a").alias("from_id"), F.lit("b").alias("to_id"), F.array("rid").alias("reference_ids"))
     refs = r.select(F.col("rid").alias("id"), F.lit("a").alias("source_module"), F.lit("b").alias("target"), F.lit("resolved").alias("resolution")).distinct()
     return graph.evidence_faults(edges, refs)

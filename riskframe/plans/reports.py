@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.expr import uri_escaped
 
 SARIF_RESULTS = 25_000
+ROWS = 250_000  # rows of one part of a report; more are an error
 LIMITATIONS = {
     "scope": ["Lines that only changed place in their file aren't told apart from new ones.", "Callables are found by syntax; generated and ignored sources aren't read."],
     "comparison": ["Callables that equal each other in declaration can't be told apart and form ambiguous groups.", "Coverage is compared only between reports of one format."],
@@ -49,6 +50,24 @@ def sarif_results(rows: DataFrame, rule: str, level: str) -> DataFrame:
     )
 
 
+MUTATION_RULES = [{"id": "MUT001", "name": "survived"}, {"id": "MUT002", "name": "noCoverage"}]
+
+
+def mutation_sarif(mutants: DataFrame) -> DataFrame:
+    """SARIF results of survived (MUT001) and uncovered (MUT002) mutants, in order; a mutant without end is a point."""
+    rows = mutants.where("status in ('survived', 'noCoverage')").orderBy("file", "start_line", "start_column", "id")
+    region = F.struct(F.col("start_line").alias("startLine"), F.col("start_column").alias("startColumn"), F.col("end_line").alias("endLine"), F.col("end_column").alias("endColumn"))
+    place = F.struct(F.struct(F.struct(uri_escaped(F.col("file")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    survived = F.col("status") == "survived"
+    return rows.select(
+        F.when(survived, "MUT001").otherwise("MUT002").alias("ruleId"),
+        F.lit("warning").alias("level"),
+        F.struct(F.concat(F.when(survived, "no test fails for mutant ").otherwise("no test covers mutant "), "mutator").alias("text")).alias("message"),
+        F.array(place).alias("locations"),
+        F.create_map(F.lit("riskframe/v1"), F.col("id")).alias("partialFingerprints"),
+    )
+
+
 def sarif_log(results: DataFrame, rules: list[dict], tool: str = "riskframe") -> str:
     rows = results.limit(SARIF_RESULTS + 1).toJSON().collect()
     if len(rows) > SARIF_RESULTS:

@@ -13,7 +13,19 @@ SPANS = "identity string, start_line int, start_column int, end_line int, end_co
 
 def coverage_format(text):
     """go-coverprofile or cobertura, by the first characters that aren't blank (column)."""
-    return F.when(F.ltrim(F.regexp_replace(text, r"^\s+", "")).startswith("mode:"), "go-coverprofile").otherwise("cobertura")
+    return F.when(F.regexp_replace(text, r"^[\s\uFEFF]+", "").startswith("mode:"), "go-coverprofile").otherwise("cobertura")
+
+
+def read_report(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame | None, str]:
+    """(coverage spans, aliases or None, format) of a coverage report, told by its first line that isn't blank; an empty
+    report is an error."""
+    text = spark.read.text(path)
+    first = text.where(F.length(F.regexp_replace("value", r"[\s\uFEFF]", "")) > 0).select(coverage_format(F.col("value"))).first()
+    if first is None:
+        raise ValueError(f"{path} is empty")
+    if first[0] == "go-coverprofile":
+        return go_profile(text), None, first[0]
+    return *read_cobertura(spark, path, root), first[0]
 
 
 def read_cobertura(spark: SparkSession, path: str, root: str = "") -> tuple[DataFrame, DataFrame]:
@@ -31,7 +43,7 @@ def cobertura(lines: DataFrame, sources: DataFrame | None = None, root: str = ""
     folder is absolute); an absolute name becomes relative to the root or else to the source folders, and is hashed if it
     lies in none of them, so that no foreign path leaks.
     """
-    folders = [r[0] for r in sources.select(normal_path(F.col("source")).alias("source")).where("source <> ''").distinct().limit(SOURCES + 1).collect()] if sources is not None else []
+    folders = [r[0] for r in sources.where("trim(source) <> ''").select(normal_path(F.col("source")).alias("source")).distinct().limit(SOURCES + 1).collect()] if sources is not None else []
     if len(folders) > SOURCES:
         raise ValueError(f"more than {SOURCES} source folders")
     bad = (F.col("number") < 1) | F.col("number").isNull() | F.col("hits").try_cast("long").isNull() | (F.coalesce(F.trim("filename"), F.lit("")) == "")

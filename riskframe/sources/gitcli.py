@@ -63,6 +63,18 @@ def tree(root: str, commit: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def blob_table(spark, scratch, root: str, entries: list[tuple[str, str, str]]):
+    """path and content of a commit's entries as a table, read and written in groups of at most PATHS objects, so that the
+    driver holds one group at a time."""
+    parts = None
+    for at in range(0, len(entries), PATHS):
+        group = entries[at : at + PATHS]
+        held = blobs(root, [oid for _, _, oid in group])
+        part = scratch.cut(spark.createDataFrame([(p, bytearray(held[oid])) for p, _, oid in group], "path string, content binary"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts if parts is not None else spark.createDataFrame([], "path string, content binary")
+
+
 def blobs(root: str, objects: list[str]) -> dict[str, bytes]:
     """Contents of objects."""
     if not objects:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import GREMLINS_STATUS, STRYKER_STATUS, mapped, normal_path, valid_report_path
-from riskframe.operators.mutation import mutant_id
+from riskframe.operators.mutation import efficacy_faults, mutant_id, mutation_summary
 
 _PLACE = "struct<line:int,column:int>"
 STRYKER = f"schemaVersion string, files map<string, struct<language:string, mutants:array<struct<id:string, mutatorName:string, replacement:string, status:string, statusReason:string, location:struct<start:{_PLACE}, `end`:{_PLACE}>>>>>"
@@ -45,3 +45,29 @@ def gremlins_mutants(reports: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("native_id"), "file", F.col("m.line").alias("start_line"), F.col("m.column").alias("start_column"), none.alias("end_line"), none.alias("end_column"),
         F.col("m.type").alias("mutator"), _checked_status(F.col("m.status"), GREMLINS_STATUS).alias("status"), F.lit("").alias("replacement"), F.lit(None).cast("string").alias("reason"),
     )
+
+
+# The report contract of each engine.
+ENGINES = {"stryker": "mutation-testing-report-schema", "gremlins": "gremlins-json"}
+
+
+def read_report(spark, path: str, engine: str, minimum: float = 80.0) -> DataFrame:
+    """Mutants of one report file, checked: the engine is known, the report isn't empty, thresholds are percentages, no mutant
+    occurs twice, and the totals that a Gremlins report states agree with its mutants."""
+    if engine not in ENGINES:
+        raise ValueError(f"unknown engine {engine}")
+    if not 0 <= minimum <= 100:
+        raise ValueError("the minimum is a percentage")
+    schema, read = (STRYKER, stryker_mutants) if engine == "stryker" else (GREMLINS, gremlins_mutants)
+    raw = spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    mutants = read(raw)
+    twice = mutants.groupBy("id").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"mutant {twice['id']} occurs {twice['count']} times")
+    if engine == "gremlins":
+        stated = raw.agg(F.max("test_efficacy").alias("reported_efficacy"), F.sum("mutants_total").alias("reported_total")).withColumn("k", F.lit(1))
+        counted = mutation_summary(mutants).withColumn("k", F.lit(1))
+        known = counted.join(stated, "k").where("reported_efficacy is not null and reported_total is not null")
+        if not efficacy_faults(known).isEmpty():
+            raise ValueError("the report's totals disagree with its mutants")
+    return mutants

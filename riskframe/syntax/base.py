@@ -6,7 +6,9 @@ import bisect
 import sys
 from dataclasses import dataclass, field
 
-_RECURSION = 60_000  # pure-Python frames live on the heap; deeper nesting becomes an error of the file
+#: Frames of the recursive descent, which live on the heap. A level of brackets takes at most ten, so that sources nested
+#: 5 000 deep are read; deeper ones, beyond what compilers of these languages take, are an error of the file (too-deep).
+_RECURSION = 60_000
 
 
 class Fault(Exception):
@@ -25,6 +27,7 @@ class File:
     types: list[dict] = field(default_factory=list)
     modules: list[dict] = field(default_factory=list)
     references: list[dict] = field(default_factory=list)
+    calls: list[dict] = field(default_factory=list)
 
 
 class Lines:
@@ -72,8 +75,8 @@ def run(parser, source: bytes, ext: str) -> File:
         line, col = lines.at(min(f.at, len(src)))
         out.errors.append((f.code, line, col, f.what))
     if p is not None:
-        out.callables, out.types, out.modules, out.references = p.callables, p.types, p.modules, p.references
-        for fact in (*out.callables, *out.types, *out.references):
+        out.callables, out.types, out.modules, out.references, out.calls = p.callables, p.types, p.modules, p.references, p.calls
+        for fact in (*out.callables, *out.types, *out.references, *out.calls):
             fact["start_line"], fact["start_column"] = lines.at(fact["start"])
             fact["end_line"], fact["end_column"] = lines.at(fact["end"])
         for fact in out.callables:
@@ -101,6 +104,7 @@ class Cursor:
         self.types: list[dict] = []
         self.modules: list[dict] = []
         self.references: list[dict] = []
+        self.calls: list[dict] = []
         self.open: list[tuple[str, int]] = []  # enclosing declarations: (callable or type, index)
         self.cx = [0]
         self.depth = 0
@@ -130,11 +134,11 @@ class Cursor:
 
     # Trying one reading and going back.
     def mark(self):
-        return self.i, len(self.callables), len(self.types), len(self.references), len(self.open), list(self.cx), self.depth, len(self.faults)
+        return self.i, len(self.callables), len(self.types), len(self.references), len(self.open), list(self.cx), self.depth, len(self.faults), len(self.calls)
 
     def back(self, m) -> None:
-        self.i, a, b, c, d, self.cx, self.depth, e = m
-        del self.callables[a:], self.types[b:], self.references[c:], self.open[d:], self.faults[e:]
+        self.i, a, b, c, d, self.cx, self.depth, e, f = m
+        del self.callables[a:], self.types[b:], self.references[c:], self.open[d:], self.faults[e:], self.calls[f:]
 
     def attempt(self, f, *args):
         """f's result, or None and back where it was if f meets a fault."""

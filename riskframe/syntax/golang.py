@@ -464,7 +464,8 @@ class parser(Cursor):
 
     def primary(self, name=None):
         K = self.K
-        k = K[self.i]
+        first = self.i
+        k = K[first]
         literal_type = False
         if k == "ID":
             self.i += 1
@@ -497,6 +498,7 @@ class parser(Cursor):
                 else:
                     self.take("ID")
             elif k == "(":
+                self.called(first)
                 self.nested(self.arguments)
                 literal_type = False
             elif k == "[":
@@ -507,6 +509,12 @@ class parser(Cursor):
             else:
                 return
 
+    def called(self, first):
+        """Notes a call: the dotted name that is called, '' for any other expression."""
+        plain = all(self.K[i] == ("." if (i - first) % 2 else "ID") for i in range(first, self.i)) and self.i > first
+        owner = next((j for kind, j in reversed(self.open) if kind == "callable"), None)
+        self.calls.append({"target": "".join(map(self.text, range(first, self.i))) if plain else "", "owner": owner, "start": self.S[first], "end": self.E[self.i - 1]})
+
     def func_literal(self, name):
         start = self.take("func")
         j = self.begin_callable("function_literal", f"{self.package}.{name or '<anonymous>'}", self.S[start])

@@ -85,3 +85,67 @@ def test_session_architecture_and_review(spark):
     text = spark.createDataFrame([(bytearray(b"a\r\nb"),), (bytearray(b"\xff"),)], "content binary")
     assert [x[0] for x in text.select(files.readable_source(text["content"])).collect()] == ["a\nb", None]
     assert files.displayed_path("/x/y", "/x") == "y" and files.displayed_path("/z", "/x") == "" and files.displayed_path("q", "/x") == "q"
+
+
+def lines(capsys):
+    return capsys.readouterr().out.strip().splitlines()
+
+
+def test_discovery_gates_and_change_commands(spark, repo, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda *_: spark)
+    root = str(repo)
+    (repo / "q").mkdir()
+    (repo / "q" / "c.go").write_text('package q\n\nimport (\n\t"fmt"\n\t"ex.test/m"\n)\n\ntype T struct{}\n\nfunc (t T) M() { fmt.Println(len("x")); p := m.F(1); _ = p }\n\nvar z = m.F(2)\n\nfunc N(t T) { t.M(); int(3); (N)(t); K() }\n')
+    (repo / "a_test.go").write_text("package p\n\nfunc TestF() { F(1) }\n")
+    (repo / "x.gen.ts").write_text("function gen() {}\n")
+    (repo / "node_modules").mkdir()
+    (repo / "node_modules" / "lib.ts").write_text("function lib() {}\n")
+    (repo / ".gitignore").write_text("ig*.rs\n")
+    (repo / "ignored.rs").write_text("fn ignored() {}\n")
+    assert cli.main(["analyze", root, "--format", "json"]) == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert sorted(m["name"] for m in doc["methods"]) == ["n", "p.F", "p.G", "q.(T).M", "q.N"] and len(doc["configSha256"]) == 64
+    assert {e["reason"]: e["examples"] for e in doc["excluded"]} == {"built-in-directory": ["node_modules/lib.ts"], "generated": ["x.gen.ts"], "gitignore": ["ignored.rs"], "test": ["a_test.go"]}
+    assert cli.main(["analyze", root, "--path", "ignored.rs", "--path", "q"]) == 0
+    assert sorted(x.split()[-1] for x in lines(capsys)) == ["ignored", "q.(T).M", "q.N"]
+    assert cli.main(["scope", root, "--base", "HEAD"]) == 0
+    assert [x for x in lines(capsys) if x.startswith("callable")] == ["callable a.go:3 p.F", "callable b.rs:1 n", "callable q/c.go:10 q.(T).M", "callable q/c.go:14 q.N"]
+    assert cli.main(["calls", root, "--base", "HEAD"]) == 0
+    out = lines(capsys)
+    summary = json.loads(out[0])
+    # Names are resolved without types: m.F is a call of the imported package, t.M one of every method M.
+    assert out[1:] == ["dispatch q.N -> q.(T).M 1", "static p.TestF -> p.F 1", "static q.(T).M -> p.F 1", "test p.TestF 1"]
+    assert (summary["functions"], summary["tests"], summary["static_edges"], summary["dispatch_edges"], summary["unresolved_calls"], summary["affected_tests"]) == (5, 1, 2, 1, 6, 1)
+    assert cli.main(["calls", root, "--format", "json"]) == 0
+    assert sorted(u["reason"] for u in json.loads(capsys.readouterr().out)["unresolved"]) == ["builtin", "conversion", "function-value", "function-value", "outside-function-body", "outside-module"]
+    (repo / "c.out").write_text("\nmode: set\nex.test/m/a.go:3.20,4.22 1 1\n")
+    assert cli.main(["analyze", root, "--coverage", str(repo / "c.out")]) == 0
+    assert cli.main(["analyze", root, "--coverage", str(repo / "c.out"), "--strict"]) == 2
+    assert "b.rs: coverage-path-unmatched" in capsys.readouterr().err
+    (repo / "empty.out").write_text("")
+    assert cli.main(["analyze", root, "--coverage", str(repo / "empty.out")]) == 2
+    (repo / "bad.go").write_text("package p\n\nfunc (\n")
+    assert cli.main(["analyze", root]) == 2
+    assert "bad.go:" in capsys.readouterr().err
+    assert cli.main(["analyze", root, "--allow-errors"]) == 0 and cli.main(["analyze", root, "--exclude", "bad.go"]) == 0
+    (repo / "bad.go").unlink()
+    capsys.readouterr()
+    assert cli.main(["arch", root]) == 0 and lines(capsys) == []
+    assert cli.main(["review", root, "--base", "HEAD", "--threshold", "5"]) == 1
+    out = lines(capsys)
+    assert json.loads(out[0])["regression_findings"] == 1 and any(x.startswith("quality warning") for x in out)
+
+
+def test_mutation_reports_are_checked(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda *_: spark)
+    at = tmp_path / "g.json"
+    row = {"line": 2, "column": 3, "type": "T", "status": "LIVED"}
+    at.write_text(json.dumps({"test_efficacy": 50.0, "mutants_total": 2, "files": [{"file_name": "a b.go", "mutations": [row, row | {"line": 5, "status": "KILLED"}]}]}))
+    assert cli.main(["mutate", str(at), "--engine", "gremlins", "--format", "sarif"]) == 1
+    results = json.loads(capsys.readouterr().out)["runs"][0]["results"]
+    assert [(r["ruleId"], r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["locations"][0]["physicalLocation"]["region"]) for r in results] == [("MUT001", "a%20b.go", {"startLine": 2, "startColumn": 3})]
+    at.write_text(json.dumps({"test_efficacy": 90.0, "mutants_total": 2, "files": [{"file_name": "a.go", "mutations": [row, row | {"line": 5, "status": "KILLED"}]}]}))
+    assert cli.main(["mutate", str(at), "--engine", "gremlins"]) == 2
+    at.write_text(json.dumps({"files": [{"file_name": "a.go", "mutations": [row, row]}]}))
+    assert cli.main(["mutate", str(at), "--engine", "gremlins"]) == 2
+    assert cli.main(["mutate", str(at), "--engine", "gremlins", "--minimum", "101"]) == 2
