@@ -138,7 +138,8 @@ class RiskSession:
         text = files.select(F.col("path").alias("file"), "content")
         rows = callables.join(text, "file").withColumn("content_sha256", content_sha256(F.col("content"), F.col("start_byte"), F.col("end_byte"))).drop("content")
         none = rows.select("file", F.lit("exact").alias("kind")).limit(0)
-        return coverage.coverage_state(rows, none if matches is None else matches, coverage_format != "").withColumn("coverage_format", F.lit(coverage_format))
+        out = coverage.coverage_state(rows, none if matches is None else matches, coverage_format != "").withColumn("coverage_format", F.lit(coverage_format))
+        return out.select(*sorted(out.columns))  # both sides of a comparison have their columns in one order
 
     def graph(self, nodes: DataFrame, edges: DataFrame) -> str:
         return self.keep("graph", nodes=nodes, edges=edges, summary=graph.graph_summary(nodes, edges))

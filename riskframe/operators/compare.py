@@ -92,14 +92,15 @@ def judged(rows: DataFrame, threshold: float) -> DataFrame:
         | ~b["signature"].eqNullSafe(c["signature"])
     )
     crossed = comparable & ~b["above_threshold"] & c["above_threshold"]
-    reasons = F.array_compact(
+    reasons = F.filter(
         F.array(
             F.when(matched & (complexity > 0), "complexity-increased"),
             F.when(matched & (coverage < 0), "coverage-decreased"),
             F.when(matched & (risk > 0), "risk-increased"),
             F.when(matched & crossed, "threshold-crossed"),
             F.when((F.col("status") == "added") & (c["risk"] > threshold), "added-above-threshold"),
-        )
+        ),
+        lambda x: x.isNotNull(),
     )
     regression = F.when(matched, crossed).when(F.col("status") == "added", c["risk"] > threshold).otherwise(False)
     # An ambiguous group is known by its declaration, any other comparison by the ids of its rows.

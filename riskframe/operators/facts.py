@@ -10,10 +10,11 @@ from riskframe.functions.expr import fingerprint
 from riskframe.runtime import map_arrow
 from riskframe.syntax import LANGUAGES, extension, parse
 
-_INTS = ("start_line", "start_column", "end_line", "end_column", "depth", "parent_index", "complexity", "owner")
+_PLACES = ("start_line", "start_column", "end_line", "end_column", "depth", "parent_index", "complexity")
+_INTS = (*_PLACES, "owner")
 _LONGS = ("start_byte", "end_byte")
 _COLUMNS = {
-    "callables": ("kind", "name", "signature", "parent_kind", *_INTS, *_LONGS),
+    "callables": ("kind", "name", "signature", "parent_kind", *_PLACES, *_LONGS),
     "types": ("kind", "name", "parent_kind", "start_line", "start_column", "end_line", "end_column", "parent_index", *_LONGS),
     "modules": ("system", "name"),
     "calls": ("target", "owner", "start_line", "start_column"),

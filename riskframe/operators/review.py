@@ -32,7 +32,7 @@ def quality_findings(callables: DataFrame) -> DataFrame:
 
 
 def regression_findings(comparisons: DataFrame) -> DataFrame:
-    m = F.coalesce(F.col("current")[0], F.col("baseline")[0])
+    m = F.coalesce(F.get("current", F.lit(0)), F.get("baseline", F.lit(0)))
     rows = comparisons.where("regression").select("comparison_id", "reasons", m.alias("m"))
     return _finding(rows, "regression", "error", "new quality regression", F.col("comparison_id"), file=F.col("m.file"), name=F.col("m.name"), risk=F.col("m.risk"), coverage_percent=F.col("m.coverage_percent"), reasons=F.col("reasons"))
 

@@ -324,17 +324,17 @@ def comparisons(spark, d):
 
 @query(V_MATCH + " SELECT b.id AS baseline_id, n.id AS current_id, strategy FROM pairs JOIN b ON bk = b.k JOIN n ON nk = n.k")
 def compare_matched(spark, d):
-    return comparisons(spark, d).where("status = 'matched'").select(F.col("baseline")[0]["id"].alias("baseline_id"), F.col("current")[0]["id"].alias("current_id"), "strategy")
+    return comparisons(spark, d).where("status = 'matched'").select(F.get("baseline", F.lit(0))["id"].alias("baseline_id"), F.get("current", F.lit(0))["id"].alias("current_id"), "strategy")
 
 
 @query(V_MATCH + " SELECT nr.id, risk > 30 AS regression FROM nr JOIN g USING (signature) WHERE cb = 0")
 def compare_added(spark, d):
-    return comparisons(spark, d).where("status = 'added'").select(F.col("current")[0]["id"].alias("id"), "regression")
+    return comparisons(spark, d).where("status = 'added'").select(F.get("current", F.lit(0))["id"].alias("id"), "regression")
 
 
 @query(V_MATCH + " SELECT br.id FROM br JOIN g USING (signature) WHERE cn = 0")
 def compare_removed(spark, d):
-    return comparisons(spark, d).where("status = 'removed'").select(F.col("baseline")[0]["id"].alias("id"))
+    return comparisons(spark, d).where("status = 'removed'").select(F.get("baseline", F.lit(0))["id"].alias("id"))
 
 
 @query(V_MATCH + " SELECT cb AS baseline, cn AS current FROM g WHERE cb > 0 AND cn > 0 AND (cb > 1 OR cn > 1)")
@@ -344,7 +344,7 @@ def compare_ambiguous(spark, d):
 
 @query(V_MATCH + f", x AS ({DELTA}) SELECT baseline_id, current_id, complexity, coverage_percent, risk, comparable FROM x")
 def compare_deltas(spark, d):
-    return comparisons(spark, d).where("status = 'matched'").select(F.col("baseline")[0]["id"].alias("baseline_id"), F.col("current")[0]["id"].alias("current_id"), "delta.complexity", "delta.coverage_percent", "delta.risk", "delta.comparable")
+    return comparisons(spark, d).where("status = 'matched'").select(F.get("baseline", F.lit(0))["id"].alias("baseline_id"), F.get("current", F.lit(0))["id"].alias("current_id"), "delta.complexity", "delta.coverage_percent", "delta.risk", "delta.comparable")
 
 
 @query(
@@ -353,7 +353,7 @@ def compare_deltas(spark, d):
  comparable AND NOT ba AND na AS regression FROM x"""
 )
 def compare_changes(spark, d):
-    return comparisons(spark, d).where("status = 'matched'").select(F.col("current")[0]["id"].alias("current_id"), "change", "regression")
+    return comparisons(spark, d).where("status = 'matched'").select(F.get("current", F.lit(0))["id"].alias("current_id"), "change", "regression")
 
 
 @query(

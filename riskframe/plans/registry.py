@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from riskframe.plans import core, training
+from riskframe.plans import core, facets, training
 
-_MODULES = (training, core)
+_MODULES = (training, core, facets)
 
 
 def queries() -> dict:
