@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.functions.expr import fingerprint, nullable_delta
+from riskframe.runtime import Scratch
 
 
 def with_declaration(callables: DataFrame) -> DataFrame:
@@ -34,10 +35,12 @@ def compared(baseline: DataFrame, current: DataFrame, *, threshold: float = 30.0
     coverage_percent, risk, above_threshold, content_sha256, coverage_format, coverage_state.
     """
     b, c = with_declaration(baseline), with_declaration(current)
-    by_id, b_rest, c_rest = _rests(b, c)
+    # Which ids match and how often each declaration is left are read several times: small tables, written once.
+    scratch = Scratch(baseline.sparkSession, "compare")
+    by_id, b_rest, c_rest = _rests(b, c, scratch)
     row = lambda df, side: df.select("id", "declaration", F.struct(*df.columns).alias(side))
     none_b, none_c = (F.array().cast(f"array<{row(df, 'r').schema['r'].dataType.simpleString()}>") for df in (b, c))
-    kinds = _kinds(b_rest, c_rest)
+    kinds = scratch.cut(_kinds(b_rest, c_rest))
     none = F.lit(None).cast("string")
     pair = lambda df: df.select(F.lit("matched").alias("status"), "strategy", F.array("b").alias("baseline"), F.array("c").alias("current"), "declaration")
     same_id = row(b, "b").join(by_id, "id").join(row(c, "c").drop("declaration").join(by_id, "id"), "id").withColumn("strategy", F.lit("id"))
@@ -51,9 +54,9 @@ def compared(baseline: DataFrame, current: DataFrame, *, threshold: float = 30.0
     return judged(rows.unionByName(groups), threshold)
 
 
-def _rests(b: DataFrame, c: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _rests(b: DataFrame, c: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The ids that match by id, and the rows of each side that don't."""
-    by_id = _sole(b).join(_sole(c), "id")
+    by_id = scratch.cut(_sole(b).join(_sole(c), "id"))
     return by_id, b.join(by_id, "id", "left_anti"), c.join(by_id, "id", "left_anti")
 
 
@@ -67,7 +70,7 @@ def _kinds(b_rest: DataFrame, c_rest: DataFrame) -> DataFrame:
 def ambiguous_rows(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """The rows of the ambiguous groups: side (baseline or current), declaration, then the row's own columns."""
     b, c = with_declaration(baseline), with_declaration(current)
-    _, b_rest, c_rest = _rests(b, c)
+    _, b_rest, c_rest = _rests(b, c, Scratch(baseline.sparkSession, "compare"))
     groups = _kinds(b_rest, c_rest).where("nb > 0 and nc > 0 and (nb > 1 or nc > 1)").select("declaration")
     parts = [df.join(groups, "declaration", "left_semi").select(F.lit(side).alias("side"), *b.columns) for df, side in ((b_rest, "baseline"), (c_rest, "current"))]
     return parts[0].unionByName(parts[1])

@@ -8,16 +8,21 @@ from __future__ import annotations
 LANGUAGES = {"go": "go", "cs": "csharp", "rs": "rust", "ts": "typescript", "tsx": "typescript"}
 
 
+_PARSERS: dict = {}
+
+
 def extension(path: str | None) -> str | None:
     """The path's extension in lower case if it names a supported language."""
     ext = (path or "").rpartition(".")[2].lower()
     return ext if ext in LANGUAGES and "." in (path or "") else None
 
 
-def parse(source: bytes, ext: str):
-    """The parsed file: a base.File with errors (none if the syntax is right) and facts."""
+def parse(source: bytes, ext: str, facts: bool = True):
+    """The parsed file: a base.File with errors (none if the syntax is right) and, if asked for, facts."""
     from riskframe.syntax import base
 
-    module = {"go": "golang", "cs": "csharp", "rs": "rust", "ts": "typescript", "tsx": "typescript"}[ext]
-    parser = __import__(f"riskframe.syntax.{module}", fromlist=["parser"]).parser
-    return base.run(parser, source, ext)
+    if ext not in _PARSERS:
+        module = {"go": "golang", "cs": "csharp", "rs": "rust", "ts": "typescript", "tsx": "typescript"}[ext]
+        _PARSERS[ext] = __import__(f"riskframe.syntax.{module}", fromlist=["parser"]).parser
+    parser = _PARSERS[ext]
+    return base.run(parser, source, ext, facts)

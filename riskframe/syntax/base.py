@@ -46,8 +46,8 @@ class Lines:
         return line, len(self.src[self.starts[line - 1] : offset].encode("utf-8", "surrogatepass")) + 1
 
 
-def run(parser, source: bytes, ext: str) -> File:
-    """Decodes, parses and locates. A leading byte order mark is allowed; other bytes must be UTF-8."""
+def run(parser, source: bytes, ext: str, facts: bool = True) -> File:
+    """Decodes, parses and locates the errors and, if asked for, the facts. A leading byte order mark is allowed; other bytes must be UTF-8."""
     out = File()
     if source[:3] == b"\xef\xbb\xbf":
         source = source[3:]
@@ -74,7 +74,7 @@ def run(parser, source: bytes, ext: str) -> File:
     for f in faults:
         line, col = lines.at(min(f.at, len(src)))
         out.errors.append((f.code, line, col, f.what))
-    if p is not None:
+    if p is not None and facts:
         out.callables, out.types, out.modules, out.references, out.calls = p.callables, p.types, p.modules, p.references, p.calls
         for fact in (*out.callables, *out.types, *out.references, *out.calls):
             fact["start_line"], fact["start_column"] = lines.at(fact["start"])

@@ -20,13 +20,14 @@ PRECEDENCE = {
 ASSIGN = frozenset(["=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "??="])
 
 _TOKEN = re.compile(
-    r"""\s+|(?P<line>//[^\n]*)|(?P<block>/\*(?:[^*]|\*(?!/))*\*/)|(?P<interp>\$+@?"|@\$")
+    r"""\s*(?:(?P<line>//[^\n]*)|(?P<block>/\*(?:[^*]|\*(?!/))*\*/)|(?P<interp>\$+@?"|@\$")
 |(?P<raw>"{3,})|(?P<STR>@"(?:[^"]|"")*"(?:u8)?|"(?:[^"\\\n]|\\.)*"(?:u8)?|'(?:[^'\\\n]|\\(?:u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|x[0-9a-fA-F]{1,4}|.))')
 |(?P<ID>@?[^\W\d]\w*|\\u[0-9a-fA-F]{4}\w*)
 |(?P<NUM>0[xX][0-9a-fA-F_]+[uUlL]*|0[bB][01_]+[uUlL]*|(?:[0-9][0-9_]*(?:\.[0-9][0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[fFdDmMuUlL]*)
-|(?P<op>\?\?=|<<=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|<<|\.\.|[-+*/%&|^!~<>=?:;,.(){}\[\]\#])""",
+|(?P<op>\?\?=|<<=|=>|==|!=|<=|>=|&&|\|\||\?\?|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|->|::|<<|\.\.|[-+*/%&|^!~<>=?:;,.(){}\[\]\#])|\Z)""",
     re.X,
 )
+_BLANKS = re.compile(r"\s*")
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)([^\n]*)")
 _NOT_START = frozenset([";", ")", "]", "}", ",", ":", "EOF", "=", "==", "!=", "=>", ".", "?", "??", "&&", "||", "|", "^", "/", "%", "<=", ">=", "is", "as", "switch", "with", "in"])
 
@@ -48,30 +49,39 @@ class parser(Cursor):
     def lex(self, at, n):
         src, match = self.src, _TOKEN.match
         K, S, E = self.K, self.S, self.E
+        kind, start_, end_ = K.append, S.append, E.append
         while at < n:
             m = match(src, at, n)
             if m is None:
+                at = _BLANKS.match(src, at, n).end()
+                if at >= n:
+                    break
                 quote = src[at] in "\"'" or src.startswith('@"', at) or src.startswith("/*", at)
                 self.faults.append(Fault("unterminated-literal" if quote else "bad-token", at, f"unexpected character {src[at]!r}"))
                 nl = src.find("\n", at)
                 at = (n if nl < 0 or src[at] in "@/" else nl) if quote else at + 1
                 continue
-            g, end = m.lastgroup, m.end()
-            if g is None or g == "line" or g == "block":
-                pass
+            g, at = m.lastgroup, m.end()
+            if g == "ID":
+                t = m[g]
+                kind(t if t in KEYWORDS else "ID")
+                start_(at - len(t))
+                end_(at)
             elif g == "op":
-                if m[0] == "#" and not src[src.rfind("\n", 0, at) + 1 : at].strip():
-                    end = self.directive(at, n)
+                t = m[g]
+                begin = at - len(t)
+                if t == "#" and not src[src.rfind("\n", 0, begin) + 1 : begin].strip():
+                    at = self.directive(begin, n)
                 else:
-                    K.append(m[0]), S.append(at), E.append(end)
-            elif g == "ID":
-                t = m[0]
-                K.append(t if t in KEYWORDS else "ID"), S.append(at), E.append(end)
+                    kind(t)
+                    start_(begin)
+                    end_(at)
             elif g == "interp" or g == "raw":
-                end = self.interpolated(at, m[0], n)
-            else:
-                K.append(g), S.append(at), E.append(end)
-            at = end
+                at = self.interpolated(m.start(g), m[g], n)
+            elif g == "NUM" or g == "STR":
+                kind(g)
+                start_(m.start(g))
+                end_(at)
 
     def directive(self, at, n):
         """Handles a preprocessor line; code whose condition doesn't hold is skipped. The offset to go on at."""

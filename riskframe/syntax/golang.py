@@ -20,12 +20,13 @@ ASSIGN = frozenset(["=", ":=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "
 
 _ESCAPE = r"\\(?:[abfnrtv\\'\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})"
 _TOKEN = re.compile(
-    rf"""[ \t\r]+|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*(?:[^*]|\*(?!/))*\*/)|(?P<ID>[^\W\d]\w*)
+    rf"""[ \t\r]*(?:(?P<ID>[^\W\d]\w*)|(?P<nl>\n)|(?P<line>//[^\n]*)|(?P<block>/\*(?:[^*]|\*(?!/))*\*/)
 |(?P<NUM>0[xX][0-9a-fA-F_]*\.?[0-9a-fA-F_]*(?:[pP][+-]?[0-9_]+)?i?|0[bBoO][0-9_]+i?|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?i?)
 |(?P<STR>"(?:[^"\\\n]|{_ESCAPE})*"|`[^`]*`|'(?:[^'\\\n]|{_ESCAPE})')
-|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{{}},;.:~])""",
+|(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{{}},;.:~])|\Z)""",
     re.X,
 )
+_BLANKS = re.compile(r"[ \t\r]*")
 _ENDS = frozenset(["ID", "NUM", "STR", "break", "continue", "fallthrough", "return", "++", "--", ")", "]", "}"])
 _DECL = frozenset(["func", "type", "var", "const"])
 
@@ -35,25 +36,33 @@ class parser(Cursor):
         super().__init__(src, ext)
         K, S, E = self.K, self.S, self.E = [], [], []
         at, n, match, last = 0, len(src), _TOKEN.match, ""
+        kind, start_, end_ = K.append, S.append, E.append
         while at < n:
             m = match(src, at)
             if m is None:
+                at = _BLANKS.match(src, at).end()
                 self.faults.append(_bad(src, at))
                 nl = src.find("\n", at)
                 at = at + 1 if src[at] not in "\"'`" and not src.startswith("/*", at) else (n if src[at] in "`/" or nl < 0 else nl)
                 continue
-            g, end = m.lastgroup, m.end()
-            if g is None:
-                pass
-            elif g == "nl" or (g == "block" and "\n" in m[0]):
+            g, at = m.lastgroup, m.end()
+            if g == "ID" or g == "op":
+                t = m[g]
+                last = t if g == "op" or t in KEYWORDS else g
+                kind(last)
+                start_(at - len(t))
+                end_(at)
+            elif g == "nl" or (g == "block" and "\n" in m[g]):
                 if last in _ENDS:
-                    K.append(";"), S.append(at), E.append(at)
                     last = ";"
-            elif g != "line" and g != "block":
-                t = m[0]
-                last = t if g == "op" or (g == "ID" and t in KEYWORDS) else g
-                K.append(last), S.append(at), E.append(end)
-            at = end
+                    kind(last)
+                    start_(m.start(g))
+                    end_(m.start(g))
+            elif g == "NUM" or g == "STR":
+                last = g
+                kind(g)
+                start_(m.start(g))
+                end_(at)
         if last in _ENDS:
             K.append(";"), S.append(n), E.append(n)
         K.append("EOF"), S.append(n), E.append(n)

@@ -18,13 +18,14 @@ PRECEDENCE = {
 ASSIGN = frozenset(["=", "+=", "-=", "*=", "/=", "%=", "^=", "&=", "|=", "<<=", ">>="])
 
 _TOKEN = re.compile(
-    r"""\s+|(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>b?c?r(?P<h>\#*)"(?:(?!"(?P=h)).|\n)*"(?P=h))
+    r"""\s*(?:(?P<line>//[^\n]*)|(?P<block>/\*)|(?P<raw>b?c?r(?P<h>\#*)"(?:(?!"(?P=h)).|\n)*"(?P=h))
 |(?P<STR>[bc]?"(?:[^"\\]|\\(?:\n|.))*"|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]{1,8}\}|.))')
 |(?P<LIFE>'[^\W\d]\w*)|(?P<rawid>r\#[^\W\d]\w*)|(?P<ID>[^\W\d]\w*)
 |(?P<NUM>0[xX][0-9a-fA-F_]+\w*|0[bBoO][0-9_]+\w*|[0-9][0-9_]*(?:\.(?![.\w])|\.[0-9][0-9_]*)?(?:[eE][+-]?[0-9_]+)?\w*)
-|(?P<op>\.\.\.|\.\.=|<<=|>>=|&&|\|\||==|!=|<=|>=|->|=>|::|\.\.|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|>>|[-+*/%^!&|=<>@.,;:\#$?~()\[\]{}])""",
+|(?P<op>\.\.\.|\.\.=|<<=|>>=|&&|\|\||==|!=|<=|>=|->|=>|::|\.\.|\+=|-=|\*=|/=|%=|\^=|&=|\|=|<<|>>|[-+*/%^!&|=<>@.,;:\#$?~()\[\]{}])|\Z)""",
     re.X,
 )
+_BLANKS = re.compile(r"\s*")
 _COMMENT = re.compile(r"/\*|\*/")
 _ITEM = frozenset("fn struct enum union trait impl mod use const static type extern pub unsafe async macro_rules".split())
 _BLOCKLIKE = frozenset(["if", "match", "loop", "while", "for", "unsafe", "{", "LIFE"])
@@ -37,31 +38,35 @@ class parser(Cursor):
         at, n, match = 0, len(src), _TOKEN.match
         if src.startswith("#!") and not src.startswith("#!["):
             at = src.find("\n") if "\n" in src else n
+        kind, start_, end_ = K.append, S.append, E.append
         while at < n:
             m = match(src, at)
             if m is None:
+                at = _BLANKS.match(src, at).end()
                 quote = src[at] in "\"'"
                 self.faults.append(Fault("unterminated-literal" if quote else "bad-token", at, f"unexpected character {src[at]!r}"))
                 at = n if src[at] == '"' else at + 1
                 continue
-            g, end = m.lastgroup, m.end()
-            if g == "h":
-                g = "raw"
-            if g == "block":
-                depth, end = 1, at + 2
+            g, at = m.lastgroup, m.end()
+            if g == "ID" or g == "op":
+                t = m[g]
+                kind(t if g == "op" or t in KEYWORDS else g)
+                start_(at - len(t))
+                end_(at)
+            elif g == "block":
+                begin, depth = m.start(g), 1
                 while depth:
-                    c = _COMMENT.search(src, end)
+                    c = _COMMENT.search(src, at)
                     if c is None:
-                        self.faults.append(Fault("unterminated-literal", at, "comment without end"))
-                        end = n
+                        self.faults.append(Fault("unterminated-literal", begin, "comment without end"))
+                        at = n
                         break
                     depth += 1 if c[0] == "/*" else -1
-                    end = c.end()
+                    at = c.end()
             elif g is not None and g != "line":
-                t = m[0]
-                K.append(t if g == "op" or (g == "ID" and t in KEYWORDS) else "STR" if g == "raw" else "ID" if g == "rawid" else g)
-                S.append(at), E.append(end)
-            at = end
+                kind("STR" if g in ("raw", "h") else "ID" if g == "rawid" else g)
+                start_(m.start("raw" if g == "h" else g))
+                end_(at)
         K.append("EOF"), S.append(n), E.append(n)
         self.scopes: list[str] = []
         self.no_struct = False
