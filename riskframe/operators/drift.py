@@ -7,6 +7,7 @@ import json
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -267,32 +268,31 @@ def match_names(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     flip = len(old) > len(new)
     rows, cols = (new, old) if flip else (old, new)
     n, m = len(rows), len(cols)
-    cost = [[1.0 - name_similarity(r, c) + 1e-9 * j for j, c in enumerate(cols)] for r in rows]
-    u, v, at, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    cost = np.array([[1.0 - name_similarity(r, c) + 1e-9 * j for j, c in enumerate(cols)] for r in rows])
+    u, v, at, way = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
     for i in range(1, n + 1):
         at[0], j0 = i, 0
-        least, used = [float("inf")] * (m + 1), [False] * (m + 1)
+        least, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
         while True:
             used[j0] = True
-            i0, delta, j1 = at[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[at[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
+            i0 = at[j0]
+            free = ~used
+            free[0] = False
+            c = cost[i0 - 1] - u[i0] - v[1:]
+            nearer = free.copy()
+            nearer[1:] &= c < least[1:]
+            least[1:][nearer[1:]] = c[nearer[1:]]
+            way[nearer] = j0
+            j1 = int(np.where(free, least, np.inf).argmin())
+            delta = least[j1]
+            u[at[used]] += delta  # every used column belongs to a row of its own
+            v[used] -= delta
+            least[free] -= delta
             j0 = j1
             if at[j0] == 0:
                 break
         while j0:
-            at[j0], j0 = at[way[j0]], way[j0]
+            at[j0], j0 = at[way[j0]], int(way[j0])
     pairs = [(rows[at[j] - 1], cols[j - 1]) for j in range(1, m + 1) if at[j]]
     return sorted((b, a) if flip else (a, b) for a, b in pairs)
 

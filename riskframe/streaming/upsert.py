@@ -17,7 +17,7 @@ def upsert_stream(source: DataFrame, key: list[str], version: list[str], state_d
     """A query that merges each micro-batch into a table of latest rows.
 
     Generations of the table are written side by side and the newest complete one is read; the batch number names a
-    generation, so a repeated batch writes the same one again.
+    generation, so a repeated batch writes the same one again. The one before it is kept for readers, older ones are deleted.
     """
     spark = source.sparkSession
 
@@ -27,6 +27,8 @@ def upsert_stream(source: DataFrame, key: list[str], version: list[str], state_d
         known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch) if known else batch
         latest(rows, key, version).select(*batch.columns).write.mode("overwrite").parquet(f"{state_dir}/generation={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_dir}/generation={epoch - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

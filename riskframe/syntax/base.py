@@ -70,7 +70,7 @@ def run(parser, source: bytes, ext: str, facts: bool = True) -> File:
         faults = (p.faults if p else []) + [Fault("too-deep", 0, "nesting too deep")]
     finally:
         sys.setrecursionlimit(limit)
-    lines = Lines(src)
+    lines = Lines(src) if faults or facts else None
     for f in faults:
         line, col = lines.at(min(f.at, len(src)))
         out.errors.append((f.code, line, col, f.what))

@@ -50,26 +50,33 @@ class parser(Cursor):
     # Tokens.
     def lex(self):
         src, at = self.src, self.at
-        m = _SKIP.match(src, at)
         newline = False
-        if m is not None:
-            newline = "\n" in m[0]
-            at = m.end()
-        if at >= len(src):
-            self.push("EOF", len(src), len(src), newline)
-            return
+        c = src[at : at + 1]
+        if c <= " " or c == "/" or c > "~":  # blanks or a comment may stand here
+            m = _SKIP.match(src, at)
+            if m is not None:
+                end = m.end()
+                newline = src.find("\n", at, end) >= 0
+                at = end
+            if at >= len(src):
+                self.push("EOF", len(src), len(src), newline)
+                return
         m = _TOKEN.match(src, at)
         if m is None:
             self.push("BAD", at, at + 1, newline)
             return
-        g = m.lastgroup
-        if g == "op":
-            self.push(m[0], at, m.end(), newline)
-        elif g == "ID":
+        kind, end = m.lastgroup, m.end()
+        if kind == "op":
+            kind = m[0]
+        elif kind == "ID":
             t = m[0]
-            self.push(t if t in RESERVED else "ID", at, m.end(), newline)
-        else:
-            self.push(g, at, m.end(), newline)
+            if t in RESERVED:
+                kind = t
+        self.K.append(kind)
+        self.S.append(at)
+        self.E.append(end)
+        self.NL.append(newline)
+        self.at = end
 
     def push(self, kind, start, end, newline):
         self.K.append(kind), self.S.append(start), self.E.append(end), self.NL.append(newline)
