@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from operator import neg
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.tokenizing import sized
-from riskframe.runtime import Scratch, map_arrow
+from riskframe.runtime import Scratch, map_arrow, ship
 
 
 def closest_fill(space: int, counts: dict[int, int], sizes: list[int]) -> dict[int, int]:
@@ -16,16 +19,25 @@ def closest_fill(space: int, counts: dict[int, int], sizes: list[int]) -> dict[i
 
     Bitset subset sums: bit b of a Python integer says that b can be filled. A size with many items enters in
     chunks of 1, 2, 4, ... of them; the bitsets before each chunk are kept for the way back from the best sum. sizes are
-    in falling order; the search ends as soon as the space can be filled exactly.
+    in falling order; the search ends as soon as the space can be filled exactly. One or two items that fill it exactly
+    are looked up first, which nearly always succeeds where there are many sizes.
     """
     if space <= 0:
         return {}
+    if counts.get(space, 0) > 0:
+        return {space: 1}
+    start = bisect_left(sizes, -space, key=neg)
+    for i in range(start, len(sizes)):
+        s = sizes[i]
+        if s * 2 < space:
+            break
+        if counts[s] > 0 and counts.get(space - s, 0) > (space == 2 * s):
+            return {s: 1, space - s: 1} if space != 2 * s else {s: 2}
     mask, reach = (1 << (space + 1)) - 1, 1
     steps: list[tuple[int, int, int]] = []
     full = 1 << space
-    for s in sizes:
-        if s > space:
-            continue
+    for i in range(start, len(sizes)):
+        s = sizes[i]
         left, chunk = min(counts[s], space // s), 1
         while left > 0:
             k = min(chunk, left)
@@ -68,8 +80,9 @@ def patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
         out.append((times, fill))
         for s, k in fill.items():
             left[s] -= times * k
-        if any(left[s] == 0 for s in fill):
-            sizes = [s for s in sizes if left[s] > 0]
+        for s in fill:
+            if left[s] == 0:
+                del sizes[bisect_left(sizes, -s, key=neg)]
     return out
 
 
@@ -124,15 +137,27 @@ def packed(documents: DataFrame, specs: DataFrame, *, tokenizer: str | None = No
     buckets = max(8, total // 50_000)
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)))
     counts = scratch.cut(keyed.groupBy("spec_no", "tokens", "bucket").agg(F.count("*").alias("n")))
-    plans = {}
-    sizes: dict[int, dict[int, int]] = {}
-    for r in counts.where("tokens > 0").groupBy("spec_no", "tokens").agg(F.sum("n").alias("n")).collect():  # at most the sum of capacities
-        sizes.setdefault(r[0], {})[r[1]] = r[2]
-    for spec, c in sizes.items():
-        plans[spec] = runs(patterns(c, capacities[spec]))
-    n_runs = sum(len(r[0]) for p in plans.values() for r in p.values())
+    # Each kind of container is planned in a task of its own, from one count per size, of which the capacity bounds the number.
+    sizes = counts.where("tokens > 0").groupBy("spec_no", "tokens").agg(F.sum("n").alias("n"))
+
+    def plan(t: pa.Table) -> pa.Table:
+        spec = t.column("spec_no")[0].as_py()
+        made = runs(patterns(dict(zip(t.column("tokens").to_pylist(), t.column("n").to_pylist())), capacities[spec]))
+        cols = [np.concatenate([np.full(len(r[0]), s, np.int64) for s, r in made.items()]), *(np.concatenate([r[i] for r in made.values()]) for i in range(4))]
+        return pa.table([pa.array(np.full(len(cols[0]), spec), t.schema.field("spec_no").type), *map(pa.array, cols)], names=["spec_no", "tokens", "first", "container", "per", "offset"])
+
+    ship(spark)
+    kind = sizes.schema["spec_no"].dataType.simpleString()
+    planned = scratch.cut(sizes.groupBy("spec_no").applyInArrow(plan, f"spec_no {kind}, tokens long, first long, container long, per long, offset long"))
+    n_runs = planned.count()
     if n_runs > max_runs:
         raise ValueError(f"{n_runs} runs of containers; more than {max_runs}")
+    got = planned.orderBy("spec_no", "tokens", "first").toArrow()
+    columns = [got.column(c).to_numpy() for c in ("spec_no", "tokens", "first", "container", "per", "offset")]
+    plans: dict[int, dict[int, tuple]] = {}
+    ends = np.flatnonzero(np.diff(columns[0]) | np.diff(columns[1])) + 1 if n_runs else []
+    for a, b in zip([0, *ends], [*ends, n_runs] if n_runs else []):
+        plans.setdefault(int(columns[0][a]), {})[int(columns[1][a])] = tuple(c[a:b] for c in columns[2:])
     shared = spark.sparkContext.broadcast(plans)
 
     before = Window.partitionBy("spec_no", "tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -112,3 +112,19 @@ def test_long_texts_have_the_size_of_the_whole():
     mixed = "".join(rng.choice(["word", " ", "  ", "\n\n", "'s", "12", "?!", "é"]) for _ in range(40_000))
     for text in (blank_free, mixed, " " * 45_000, "x " * 30_000, blank_free + "   \n" + mixed):
         assert T.count(enc, text) == len(enc.encode_ordinary(text))
+
+
+def test_many_lengths_at_the_largest_capacity():
+    import time
+
+    rng = random.Random(1)
+    counts = {rng.randrange(1, (1 << 17) + 1): rng.randrange(1, 50) for _ in range(50_000)}
+    began = time.time()
+    pats = packing.patterns(counts, 1 << 17)
+    placed: dict[int, int] = {}
+    for times, fill in pats:
+        assert sum(s * k for s, k in fill.items()) <= 1 << 17
+        for s, k in fill.items():
+            placed[s] = placed.get(s, 0) + times * k
+    least = -(-sum(s * c for s, c in counts.items()) // (1 << 17))
+    assert placed == counts and sum(t for t, _ in pats) < 1.01 * least and time.time() - began < 120
