@@ -456,13 +456,14 @@ def scc_members(spark, d):
     """WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM graph_edges WHERE lower(regexp_replace(type, '^\\s+|\\s+$', '', 'g')) = 'imports' AND from_id IS NOT NULL AND to_id IS NOT NULL),
 r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), m AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
 c AS (SELECT node, min(other) AS component FROM m GROUP BY node)
-SELECT component, list_aggregate(list_sort(list(node)), 'string_agg', ',') AS modules, list_aggregate(list_sort(list(node)), 'string_agg', ',') AS on_witness FROM c GROUP BY component"""
+SELECT component, list_aggregate(list_sort(list(node)), 'string_agg', ',') AS modules, 0 AS loose FROM c GROUP BY component"""
 )
 def cycle_cover(spark, d):
-    """The modules of each cycle, and those that its witness edges visit, which must be all of them."""
+    """The modules of each cycle, and how many of its modules the witness edges enter more or less often than they leave (none)."""
     w = cycle_witnesses(spark, d)
-    ends = w.select("component", F.array_join("modules", ",").alias("modules"), F.explode(F.array("from_id", "to_id")).alias("node"))
-    return ends.groupBy("component", "modules").agg(F.array_join(F.array_sort(F.collect_set("node")), ",").alias("on_witness"))
+    ends = w.select("component", F.array_join("modules", ",").alias("modules"), F.explode(F.array(F.struct(F.col("from_id").alias("node"), F.lit(1).alias("n")), F.struct(F.col("to_id").alias("node"), F.lit(-1).alias("n")))).alias("e"))
+    nodes = ends.groupBy("component", "modules", "e.node").agg(F.sum("e.n").alias("n"))
+    return nodes.groupBy("component", "modules").agg(F.count_if(F.col("n") != 0).cast("int").alias("loose"))
 
 
 @query()
