@@ -62,7 +62,7 @@ class RiskSession:
         flags = go if "changed" in go.columns else go.withColumn("changed", F.lit(False))
         inventory = calls.functions(declared, flags.select("id", "file", "start_line", "start_column", "changed", "end_line"))
         inventory = self.scratch.cut(inventory)
-        tests = graph.affected_tests(edges, inventory.where("changed").select("id").limit(scope.SEEDS), inventory.where("test").select("id"))
+        tests = graph.affected_tests(edges, inventory.where("changed").select("id").orderBy("id").limit(scope.SEEDS), inventory.where("test").select("id"))
         tests = tests.where("distance > 0").join(inventory.select(F.col("id").alias("test"), "name", F.col("path").alias("file")), "test")
         tests = self.scratch.cut(tests)
         first, numbers = calls.unresolved_calls(known)
