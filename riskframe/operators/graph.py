@@ -285,10 +285,10 @@ def _least_labels(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
     Both directions run side by side. A step takes the least label over the edges in and then the label of the labelled
     node, which lets labels jump; each write holds two steps.
     """
-    ways = scratch.cut(edges.select(F.lit(True).alias("on"), "a", "b").unionByName(edges.select(F.lit(False).alias("on"), F.col("b").alias("a"), F.col("a").alias("b"))))
+    ways = edges.select(F.lit(True).alias("on"), "a", "b").unionByName(edges.select(F.lit(False).alias("on"), F.col("b").alias("a"), F.col("a").alias("b")))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     label = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), "node").alias("l")
-    at = scratch.cut(nodes.select("node", label).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("on"), "node", "l"))
+    at = nodes.select("node", label).select(F.explode(F.array(F.lit(True), F.lit(False))).alias("on"), "node", "l")
 
     def step(now: DataFrame) -> DataFrame:
         down = ways.join(now.select("on", F.col("node").alias("a"), "l"), ["on", "a"]).groupBy("on", F.col("b").alias("node")).agg(F.min("l").alias("l2"))
@@ -303,7 +303,7 @@ def _least_labels(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
         if not moved:
             break
     out = scratch.cut(at.groupBy("node").agg(F.max(F.when(F.col("on"), F.col("l.node"))).alias("f"), F.max(F.when(~F.col("on"), F.col("l.node"))).alias("t")))
-    scratch.drop(ways), scratch.drop(at)
+    scratch.drop(at)
     return out
 
 
@@ -314,20 +314,25 @@ def cyclic_components(edges: DataFrame) -> DataFrame:
     reaches it and the least that it reaches, by a hash of node and round. Where both agree, the node is in the component
     of that label's node, and the whole component is found; elsewhere edges between different labels can't be on a cycle
     and go. Chains fall apart at random places, so the number of rounds grows with the logarithm of the graph. Nodes without an edge in or
-    out of what is left are trimmed before each round. Rounds go on until no edge is left.
+    out of what is left are trimmed before each round, as long as that pays. Rounds go on until no edge is left.
     """
     scratch = Scratch(edges.sparkSession, "components")
     e = scratch.cut(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).where("a is not null and b is not null").distinct())
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     found, left, turn = None, e.where("a <> b"), 0
     while True:
-        for _ in range(2):
-            left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
-        left, n = scratch.counted(left, F.lit(True))
+        n = None
+        while True:  # trim, as long as that takes a fifth of the edges off
+            before = n
+            for _ in range(2):
+                left = left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b")
+            left, n = scratch.counted(left, F.lit(True))
+            if not n or (before is not None and n > 0.8 * before):
+                break
         if not n:
             break
         both = _least_labels(scratch, left, turn)
-        done = scratch.cut(both.where("f = t").select("node", F.col("f").alias("c")))
+        done = both.where("f = t").select("node", F.col("f").alias("c"))
         found = done if found is None else found.unionByName(done)
         open_ = both.where("f <> t")
         of = lambda x: open_.select(F.col("node").alias(x), F.struct("f", "t").alias("l" + x))
