@@ -16,8 +16,10 @@ from riskframe.runtime import Scratch, map_arrow
 
 _ENDS = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
-#: Sources that a document's posterior keeps, the most likely ones; their shares are scaled to 1.
+#: Sources of each document in rows of the fit that name them in columns of their own (``_DOC``).
 TOP = 4
+#: Most numbers of documents x sources side by side.
+_MOST = 4_000_000
 
 
 class _Buckets(dict):
@@ -64,14 +66,14 @@ def measured(documents: DataFrame, names: list[str] | None, dims: int, vocabular
     return map_arrow(documents.select("doc_id", "source", "text"), run, f"doc_id {kind}, source string, tokens long, words array<int>")
 
 
-def _side_by_side(column: pa.ListArray, most: int = 1_000_000):
+def _side_by_side(column: pa.ListArray, most: int = 1_000_000, most_rows: int = 1 << 30):
     """(first row, rows, flat values, sizes) of parts of a list column."""
     sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         base = ends[at] - sizes[at]
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = max(at + 1, min(int(np.searchsorted(ends, base + most, "right")), at + most_rows))
         yield at, to - at, flat[base : ends[to - 1]], sizes[at:to]
         at = to
 
@@ -161,6 +163,7 @@ class Mix:
     def __init__(self, goals: np.ndarray, caps: np.ndarray, available: np.ndarray):
         self.goals, self.caps = goals, caps
         self.inside = caps > 0
+        self.sources = np.flatnonzero(self.inside)
         self.start = np.divide(goals, available, out=np.zeros_like(goals), where=available > 0)
         self.mass = np.maximum(available, 1.0)
 
@@ -170,48 +173,81 @@ _LABEL_WEIGHT, _SOFT_WEIGHT = 1000.0, 0.2
 
 
 def memberships(mix: Mix, label: np.ndarray, k: np.ndarray, p: np.ndarray):
-    """(shares by label, posterior shares, cap) of documents in one mix, both over the kept sources ``k``, label first.
+    """(posterior shares of the mix's sources, their sum before they are scaled to 1, cap) of documents in one mix.
 
-    Column 0 stands for the label. A document with a known source belongs to it by label; one without belongs by its
-    posterior to both. Posteriors are scaled to the sources of the mix.
+    ``p`` holds the posteriors of the sources ``k``, which are those of all documents (one dimension) or each
+    document's own. A document with a known source belongs to it by label; one without belongs by its posterior to both.
+    Posteriors are scaled to the sources of the mix; where those hold nothing, a known source stands for them.
     """
-    own = np.concatenate((np.maximum(label, 0)[:, None], k), axis=1)
-    q = np.where(mix.inside[k], p, 0.0)
-    total = q.sum(axis=1, keepdims=True)
-    q = np.divide(q, total, out=np.zeros_like(q), where=total > 0)
-    known = label >= 0
-    none = np.zeros(len(label))
-    soft = np.concatenate((np.where(known & (total[:, 0] == 0), 1.0, none)[:, None], q), axis=1)
-    hard = np.concatenate((known.astype(float)[:, None], np.where(known[:, None], 0.0, q)), axis=1)
-    likely = np.where(q >= np.minimum(0.05, q.max(axis=1, keepdims=True)), mix.caps[k], np.inf).min(axis=1)
-    cap = np.where(known, mix.caps[own[:, 0]], np.where(total[:, 0] >= 0.5, likely, 0.0))
-    return own, hard, soft, np.where(np.isfinite(cap), cap, 0.0)
+    if k.ndim == 1:
+        column = np.zeros(len(mix.goals), np.int64)
+        column[k] = np.arange(len(k))
+        q = p[:, column[mix.sources]]
+    else:
+        q = np.zeros((len(p), len(mix.goals)))
+        np.add.at(q, (np.arange(len(p))[:, None], k), p)
+        q = q[:, mix.sources]
+    total = q.sum(axis=1)
+    q /= np.where(total > 0, total, 1.0)[:, None]
+    cap = mix.caps[np.maximum(label, 0)]
+    free = np.flatnonzero(label < 0)
+    if len(free):
+        x = q[free]
+        likely = np.where(x >= np.minimum(0.05, x.max(axis=1, keepdims=True)), mix.caps[mix.sources], np.inf).min(axis=1)
+        cap[free] = np.where(total[free] >= 0.5, likely, 0.0)
+    return q, total, cap
 
 
 def rates(mix: Mix, y: np.ndarray, label: np.ndarray, k: np.ndarray, p: np.ndarray):
-    """The rates of documents, between 0 and their caps, under the slopes y (by label, by posterior), with memberships."""
-    own, hard, soft, cap = memberships(mix, label, k, p)
-    r = ((mix.start[own] + y[0][own]) * hard).sum(axis=1) + (y[1][own] * soft).sum(axis=1)
-    return np.clip(r, 0.0, cap), own, hard, soft, cap
+    """The rates of documents, between 0 and their caps, under the slopes y (by label, by posterior), with memberships:
+    (rates, posterior shares, whether the source is known, whether it stands for the posterior too, caps)."""
+    q, total, cap = memberships(mix, label, k, p)
+    known, own = label >= 0, np.maximum(label, 0)
+    alone = known & (total == 0)
+    first = mix.start + y[0]
+    r = np.where(known, first[own], 0.0) + np.where(alone, y[1][own], q @ y[1][mix.sources])
+    r[~known] += q[~known] @ first[mix.sources]
+    return np.clip(r, 0.0, cap), q, known, alone, cap
 
 
 def totals(mix: Mix, y: np.ndarray, label, k, p, tokens) -> np.ndarray:
     """Expected tokens by source under the rates: by label and by posterior."""
-    r, own, hard, soft, _ = rates(mix, y, label, k, p)
-    w = (r * tokens)[:, None]
+    r, q, known, alone, _ = rates(mix, y, label, k, p)
+    w = r * tokens
     n = len(mix.goals)
-    return np.stack([np.bincount(own.ravel(), (w * x).ravel(), n) for x in (hard, soft)])
+    hard, soft = (np.bincount(label[x], w[x], n).astype(np.float64) for x in (known, alone))
+    hard[mix.sources] += w[~known] @ q[~known]
+    soft[mix.sources] += w @ q
+    return np.stack([hard, soft])
 
 
 _DOC = [f"k{i}" for i in range(TOP)] + [f"p{i}" for i in range(TOP)]
 
 
-def _columns(b: pa.RecordBatch, first: int):
-    """label, sources, posterior and tokens of a batch as arrays; ``first`` is the label's column."""
-    at = lambda i: b.column(i).to_numpy(zero_copy_only=False)
-    k = np.stack([at(first + 2 + i) for i in range(TOP)], axis=1).astype(np.int64)
-    p = np.stack([at(first + 2 + TOP + i) for i in range(TOP)], axis=1).astype(np.float64)
-    return at(first).astype(np.int64), k, p, at(first + 1).astype(np.float64)
+def _posterior(rows: DataFrame) -> list[str]:
+    """The columns that hold the posteriors: one list of those of all sources of the mixes, or ``_DOC``."""
+    return ["posterior"] if "posterior" in rows.columns else _DOC
+
+
+def _columns(batches, first: int, sources: np.ndarray):
+    """(slice of a batch, label, sources, posterior and tokens as arrays); ``first`` is the label's column, ``sources`` are
+    those of the mixes."""
+    for whole in batches:
+        step = max(1, _MOST // max(len(sources), 1))
+        for row in range(0, whole.num_rows, step):
+            b = whole.slice(row, step)
+            at = lambda i: b.column(first + i).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            if "posterior" in b.schema.names:
+                k, p = sources, b.column(first + 2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(sources))
+            else:
+                k = np.stack([at(2 + i) for i in range(TOP)], axis=1).astype(np.int64)
+                p = np.stack([at(2 + TOP + i) for i in range(TOP)], axis=1).astype(np.float64)
+            yield b, at(0).astype(np.int64), k, p, at(1).astype(np.float64)
+
+
+def _sources(mixes: dict[int, Mix]) -> np.ndarray:
+    """The sources of any mix; no other's posterior is ever read."""
+    return np.unique(np.concatenate([x.sources for x in mixes.values()]))
 
 
 def fitted(rows: DataFrame, mixes: dict[int, Mix], rounds: int, tolerance: float) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], dict[int, float]]:
@@ -233,14 +269,13 @@ def fitted(rows: DataFrame, mixes: dict[int, Mix], rounds: int, tolerance: float
         def run(batches, shared=shared):
             mixes, y = shared.value
             out = {m: 0.0 for m in mixes}
-            for b in batches:
-                cols = _columns(b, 0)
+            for _, *cols in _columns(batches, 0, _sources(mixes)):
                 for m, x in mixes.items():
                     out[m] = out[m] + totals(x, y[m], *cols)
             got = [(m, t) for m, t in out.items() if not np.isscalar(t)]
             yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in got], pa.int32()), pa.array([t.ravel().tolist() for _, t in got], pa.list_(pa.float64()))], names=["mix_no", "totals"])
 
-        sums = map_arrow(rows.select("label", "tokens", *_DOC), run, "mix_no int, totals array<double>")
+        sums = map_arrow(rows.select("label", "tokens", *_posterior(rows)), run, "mix_no int, totals array<double>")
         got = {m: np.zeros((2, len(x.goals))) for m, x in mixes.items()}
         for m, i, v in sums.select("mix_no", F.posexplode("totals")).groupBy("mix_no", "pos").agg(F.sum("col")).collect():
             got[m].ravel()[i] = v
@@ -325,23 +360,18 @@ def mixed(documents: DataFrame, targets: DataFrame, *, tokenizer: str | None = N
 
     logp, shares, temperature = classifier(base, names, dims)
     model = spark.sparkContext.broadcast((logp.astype(np.float32), shares, temperature))
-    top = min(TOP, len(names))
+    used = _sources(mixes)
 
     def posterior(batches):
         logp, shares, temp = model.value
         for b in batches:
             label = np.array([at.get(s, -1) for s in b.column(1).to_pylist()], np.int32)
-            for row, n, flat, sizes in _side_by_side(b.column(3)):
-                p = softmax(likelihoods(logp, flat, sizes) / temp + shares)
-                k = np.argsort(-p, axis=1, kind="stable")[:, :top]
-                p = np.take_along_axis(p, k, axis=1)
-                p = np.pad(p / p.sum(axis=1, keepdims=True), ((0, 0), (0, TOP - top)))
-                k = np.pad(k, ((0, 0), (0, TOP - top)))
-                cols = [*(pa.array(k[:, i], pa.int32()) for i in range(TOP)), *(pa.array(p[:, i], pa.float32()) for i in range(TOP))]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(label[row : row + n]), b.column(2).slice(row, n), *cols], names=["doc_id", "source", "label", "tokens", *_DOC])
-
-    ddl = ", ".join([f"{c} {'int' if c[0] == 'k' else 'float'}" for c in _DOC])
-    docs = scratch.cut(map_arrow(base.where("tokens > 0").select("doc_id", "source", "tokens", "words"), posterior, f"doc_id {kind}, source string, label int, tokens long, {ddl}"))
+            for row, n, flat, sizes in _side_by_side(b.column(3), most_rows=max(1, _MOST // len(names))):
+                p = softmax(likelihoods(logp, flat, sizes) / temp + shares)[:, used]
+                p = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(used), pa.int32()), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), b.column(1).slice(row, n), pa.array(label[row : row + n]), b.column(2).slice(row, n), p], names=["doc_id", "source", "label", "tokens", "posterior"])
+
+    docs = scratch.cut(map_arrow(base.where("tokens > 0").select("doc_id", "source", "tokens", "words"), posterior, f"doc_id {kind}, source string, label int, tokens long, posterior array<double>"))
     scratch.drop(base)
     slopes, expected, distance = fitted(docs, mixes, rounds, tolerance)
     share = spark.sparkContext.broadcast((mixes, slopes))
@@ -351,22 +381,22 @@ def mixed(documents: DataFrame, targets: DataFrame, *, tokenizer: str | None = N
 
     def planned(batches):
         mixes, slopes = share.value
-        for b in batches:
-            label, k, p, tokens = _columns(b, 2)
+        for b, label, k, p, _ in _columns(batches, 2, used):
             u = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             for m, x in mixes.items():
-                r, own, hard, _, cap = rates(x, slopes[m], label, k, p)
+                r, q, known, _, cap = rates(x, slopes[m], label, k, p)
+                near = [names[j] for j in x.sources]
                 use = np.flatnonzero(cap > 0)
                 whole = np.floor(r[use] + 1e-9).astype(np.int64)
                 lack = u[use] - (r[use] - whole)
-                member = [None if label[i] >= 0 else [(names[j], float(v)) for j, v in zip(own[i], hard[i]) if v > 0] for i in use]
+                member = [None if known[i] else [(s, v) for s, v in zip(near, q[i].tolist()) if v > 0] for i in use]
                 of = pa.array(use, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(use), m), pa.int32()), b.column(0).take(of), b.column(1).take(of), b.column(3).take(of), pa.array(whole), pa.array(cap[use]), pa.array(r[use] - whole), pa.array(lack, pa.float64()), pa.array(member, pa.map_(pa.string(), pa.float64()))],
                     names=["mix_no", "doc_id", "source", "tokens", "whole", "cap", "part", "lack", "member"],
                 )
 
-    plan = scratch.cut(map_arrow(docs.select("doc_id", "source", "label", "tokens", *_DOC, draw), planned, f"mix_no int, doc_id {kind}, source string, tokens long, whole long, cap double, part double, lack double, member map<string,double>"))
+    plan = scratch.cut(map_arrow(docs.select("doc_id", "source", "label", "tokens", *_posterior(docs), draw), planned, f"mix_no int, doc_id {kind}, source string, tokens long, whole long, cap double, part double, lack double, member map<string,double>"))
     scratch.drop(docs)
     soft = plan.where("source is null").select("mix_no", "doc_id", "source", "tokens", "cap", (F.col("whole") + F.when(F.col("lack") < 0, 1).otherwise(0)).alias("copies"), "member")
     # What the chosen documents without source hold counts for the sources that they resemble.

@@ -81,3 +81,15 @@ def test_empty(spark):
     assert mixing.mixed(docs(spark, corpus()), t.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.mixed(docs(spark, corpus()), t, max_sources=1)
+
+
+def test_all_sources_of_a_posterior_count(spark):
+    # Documents without source that resemble six sources alike count for all six, not for the four most likely.
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    data = [(100 * s + i, f"{w} common " * 5, w) for s, w in enumerate(words) for i in range(60)]
+    data += [(1000 + i, "common " * 5 + " ".join(words), None) for i in range(6)]
+    t = goals(spark, [(1, w, 1.0, 1) for w in words] + [(2, "alpha", 1.0, 1), (2, "beta", 1.0, 1), (2, "gamma", 1.0, 1), (2, "delta", 1.0, 1)])
+    got = mixing.mixed(docs(spark, data), t).where("source is null").collect()
+    members = [r["member"] for r in got if r["mix_no"] == 1]
+    assert members and all(set(m) == set(words) and abs(sum(m.values()) - 1) < 1e-9 and max(m.values()) < 0.25 for m in members)
+    assert all(set(r["member"]) == set(words[:4]) for r in got if r["mix_no"] == 2)
