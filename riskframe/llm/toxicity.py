@@ -442,7 +442,7 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("words"), run, "feature long, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
 
 
-def _counts(sample: DataFrame, table, threshold: float | None, drift: float) -> DataFrame:
+def _counts(docs: DataFrame, table, threshold: float | None, drift: float) -> DataFrame:
     """Per feature the documents that hold it, weighted by the chance to be toxic (pos) and not to be (neg).
 
     With a table, only the best segment of a document counts for it; everything outside counts as neutral. A
@@ -469,13 +469,13 @@ def _counts(sample: DataFrame, table, threshold: float | None, drift: float) ->
                     keys, pos, neg = summed(np.concatenate((f, fi)), np.concatenate((np.zeros(len(f)), p[di])), np.concatenate((np.ones(len(f)), -p[di])))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pos, pa.float64()), pa.array(neg, pa.float64())], names=["feature", "pos", "neg"])
 
-    rows = map_arrow(sample.select("words", "p"), run, "feature long, pos double, neg double")
+    rows = map_arrow(docs.select("words", "p"), run, "feature long, pos double, neg double")
     return rows.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _table(counts: DataFrame, background: DataFrame, total: int, strength: float, shrink: float) -> Table:
     """The features' log-odds: an informative Dirichlet prior from the counts of all documents, drawn towards 0 by the
-    standard error. Features come from the labelled sample, so its words bound their number."""
+    standard error. Only features whose log-odds exceed that are kept, and come to the driver."""
     n1, n0 = counts.agg(F.coalesce(F.sum("pos"), F.lit(0.0)), F.coalesce(F.sum("neg"), F.lit(0.0))).first()
     alpha = F.lit(strength / max(total, 1)) * F.col("docs") + 0.01
     x, y = F.col("pos") + alpha, F.col("neg") + alpha
@@ -525,35 +525,26 @@ def _calibration(places: dict[float, int], tops: dict[float, int]) -> tuple[floa
     return decay, n / total * math.exp(min(decay * min(mean, 3.0), 20))
 
 
-def _sampled(docs: DataFrame, most: int) -> DataFrame:
-    """All documents, or about ``most`` of them by hash of the id if there are more."""
-    n = docs.count()
-    return docs if n <= most else docs.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
-
-
-def fit(docs: DataFrame, *, strength: float = 1000.0, shrink: float = 1.0, drift: float = 2.0, rounds: int = 3, max_labelled: int = 50_000, max_unlabelled: int = 150_000) -> tuple[Table, float]:
-    """Learns the log-odds from a sample of at most about max_labelled documents with votes and max_unlabelled without:
-    first from whole labelled documents, then, round by round, from the best segments of both. The prior comes from the
-    counts of all documents. Returns the table and the least raw score of a toxic document."""
+def fit(docs: DataFrame, *, strength: float = 1000.0, shrink: float = 1.0, drift: float = 2.0, rounds: int = 3) -> tuple[Table, float]:
+    """Learns the log-odds from all documents: first from whole labelled ones, then, round by round, from the best segments
+    of those with votes and those without. Returns the table and the least raw score of a toxic document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity-fit")
     rows = docs.select("doc_id", "p", "words")
-    labelled = scratch.cut(_sampled(rows.where("p is not null"), max_labelled))
+    labelled = scratch.cut(rows.where("p is not null"))
     if labelled.isEmpty():
         return Table(np.zeros(0, np.int64), np.zeros(0)), float("inf")
-    rest = scratch.cut(_sampled(rows.where("p is null"), max_unlabelled))
-    sample = labelled.unionByName(rest)
     background = scratch.cut(document_counts(docs))
     total = background.agg(F.sum("docs")).first()[0] or 0
     table, raw = None, float("inf")
     for i in range(rounds + 1):
-        counts = scratch.cut(_counts(sample if i else labelled, table, raw, drift))
+        counts = scratch.cut(_counts(rows if i else labelled, table, raw, drift))
         new = spark.sparkContext.broadcast(_table(counts, background, total, strength, shrink))
         scratch.drop(counts)
         if table is not None:
             table.unpersist()
         table, raw = new, _least(_scored(labelled, new, drift), F.col("score"))
-    for done in (labelled, rest, background):
+    for done in (labelled, background):
         scratch.drop(done)
     return table.value, raw
 
@@ -608,9 +599,9 @@ def scores(documents: DataFrame, labels: DataFrame, *, passages: bool = True, dr
     votes are weighed by error rates estimated from the raters' disagreement. passages holds each segment that
     reaches the threshold by itself.
 
-    Texts are read once; the later passes work on arrays of word numbers. The classifier is fitted on at most about
-    max_labelled (50 000) documents with votes and max_unlabelled (150 000) without, by hash; that bounds its table.
-    The prior's counts, the scores, their calibration and the threshold cover all documents.
+    Texts are read once; the later passes work on arrays of word numbers. The log-odds, the prior's counts, the scores,
+    their calibration and the threshold cover all documents; the table of log-odds holds the features that tell toxic from
+    neutral by more than their standard error.
 
     Defined cases: null and blank texts score null and aren't toxic; votes that are null count as none, of repeated
     votes of one rater the last holds; without labelled documents nothing is toxic; empty tables give an

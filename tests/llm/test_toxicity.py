@@ -107,3 +107,20 @@ def test_empty(spark):
     assert T.scores(d, lab).count() == 0
     some = spark.createDataFrame([(1, "you are a moron", "s")], "doc_id long, text string, source string")
     assert [r["toxic"] for r in T.scores(some, lab).collect()] == [False]
+
+
+def test_all_documents_enter_the_fit(spark, monkeypatch):
+    # More documents, with votes and without, than a sample once held; one word is in each of them.
+    every, bad, good = T.number("common"), T.number("moron"), T.number("parser")
+    docs = spark.range(205_000).selectExpr("id doc_id", "case when id < 52000 then if(id % 4 = 0, 0.95D, 0.05D) end p", f"array({every}L, if(id % 4 = 0, {bad}L, {good}L)) words")
+    seen, table = [], T._table
+
+    def spy(counts, *rest):
+        seen.append({r["feature"]: r["pos"] + r["neg"] for r in counts.where(f"feature in ({every}, {bad}, {good})").collect()})
+        return table(counts, *rest)
+
+    monkeypatch.setattr(T, "_table", spy)
+    found, raw = T.fit(docs, rounds=1)
+    for n, got in zip((52_000, 205_000), seen, strict=True):
+        assert np.allclose([got[every], got[bad], got[good]], [n, n / 4, n * 3 / 4])
+    assert found.get(np.array([bad]))[0] > 0 > found.get(np.array([good]))[0] and np.isfinite(raw)
