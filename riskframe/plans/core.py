@@ -139,7 +139,7 @@ def owned_ranges(spark, d):
 
 @query(f"WITH {V_CALLABLES}, {V_SPANS}, owned AS (SELECT file, id, start_line, end_line FROM v_callables), {V_COVERED} SELECT * FROM covered")
 def coverage_percent(spark, d):
-    return intervals.covered_percent(v_spans(spark, d), v_callables(spark, d).select("file", "id", "start_line", "end_line"))
+    return intervals.covered_percent(v_spans(spark, d), v_callables(spark, d).select("file", "id", "start_line", "end_line")).where("coverage_percent is not null")
 
 
 @query(f"WITH {V_CALLABLES}, {V_SPANS}, {V_OWNED}, {V_COVERED}, {V_SCORED} SELECT id, file, complexity, coverage_percent, risk, risk > 30 AS above_threshold FROM scored")
